@@ -13,8 +13,10 @@ binary probes of the long lists' shingles.
    shingles and the shortest lists' shingles to be merged.
 4. Each short list links its documents to its first document: linear in the list, however long. The pairs
    are confirmed on the whole sets, and connected components formed.
-5. Only pairs that share a short list and are still in different components are confirmed too, so no
-   link between components is missed and no group is expanded into all its pairs.
+5. Where lists still have many pairs in different components, a few documents of a list's largest component
+   meet the others of the list, again linear in the list, and so on for some rounds.
+6. All pairs that share a short list and are still in different components are confirmed, so no link between
+   components is missed and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from quarry.llm._spark import NULL_ID, components, cut, documents, partitions, r
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Shingles that a task holds before it sends them.
 HELD = 1_500_000
+#: Rounds of step 5 at most, documents sent in each, and pairs left per list entry at which they end. They only
+#: decide how soon step 6 takes over, which is exact however many pairs are left.
+ROUNDS, ENVOYS, PAIRS_PER_ENTRY = 6, 4, 1
 _BASE = 0xE7037ED1A0B428DB
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, lengths binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -274,10 +279,37 @@ def ngram_jaccard_join(
     links = confirmed(star).union(same)
     part_of = cut(components(links))
 
-    # lists whose documents are not all in one component yet
-    placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "coalesce(component, id) c")
-    open_lists = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    left_over = cut(placed.join(open_lists, "token"))
+    most = PAIRS_PER_ENTRY * entries.count()
+    for turn in range(ROUNDS + 1):
+        # lists whose documents are not all in one component yet
+        placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "coalesce(component, id) c")
+        sizes = placed.groupBy("token", "c").count()
+        open_lists = cut(
+            sizes.groupBy("token")
+            .agg(F.sum("count").alias("k"), F.sum(F.expr("cast(count as double) * count")).alias("own"), F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("cs"))
+            .where("cs > 1")
+            .selectExpr("token", "top.c top", "(cast(k as double) * k - own) / 2 pairs")
+        )
+        left_over = cut(placed.join(open_lists.drop("pairs"), "token"))
+        if turn == ROUNDS or (open_lists.agg(F.sum("pairs")).first()[0] or 0) <= most:
+            break
+        # each list's largest component sends a few of its documents to meet the list's others
+        envoys = (
+            left_over.where("c = top")
+            .groupBy("token")
+            .agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", "tag", F.lit(turn * ENVOYS + k)).alias("o"), "id", "tag", "n")) for k in range(ENVOYS)))).alias("e"))
+            .selectExpr("token", "explode(e) e")
+        )
+        met = (
+            left_over.where("c <> top")
+            .selectExpr("token", "id b", "tag tb", "n m")
+            .join(envoys.selectExpr("token", "e.id a", "e.tag ta", "e.n n"), "token")
+            .where(close)
+            .select("a", "ta", "b", "tb")
+            .distinct()
+        )
+        links = links.union(confirmed(met))
+        part_of = cut(components(links))
     rest = (
         left_over.selectExpr("token", "id a", "tag ta", "n", "c")
         .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "c d"), "token")
