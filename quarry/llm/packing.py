@@ -15,8 +15,12 @@ is counted by many tasks.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,6 +34,24 @@ from quarry.llm import _text as tx
 from quarry.llm._spark import cut, documents, partitions, real_id
 
 CAPACITY, END_ID = 4096, 1
+#: The rules of vocabularies whose words may skip them, in the tokenizers library's own form.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words of printable ASCII and of Latin letters that are composed and have a lower case of one letter.
+_PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017e]+|[0-9]|[^a-z0-9\u00c0-\u017e]+")
+#: Byte-level vocabularies write byte b as a printable character: itself, or the next one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 _PIECES = "id long, piece int, start long, length long, crc long"
@@ -47,6 +69,8 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        self.plain = sys.byteorder == "little" and (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
         mark = self._ids("|")
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
@@ -60,6 +84,22 @@ class Tokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
+        """Plain words go to the merges directly, in the pieces that the vocabulary's own rules give."""
+        merge, other = self.tokenizer.model.tokenize, []
+        for w in words:
+            text = w.decode(errors="replace")
+            if self.plain and _PLAIN.fullmatch(text):
+                ids = array("I")
+                for piece in _PIECE.findall(text.lower()):
+                    if not piece.isascii():
+                        piece = piece.encode().decode("latin-1").translate(_BYTES)
+                    ids.extend([t.id for t in merge(piece)])
+                self.known[w] = ids.tobytes()
+            else:
+                other.append(w)
+        self._learn_whole(other)
+
+    def _learn_whole(self, words: list[bytes]) -> None:
         alone = [w for w in words if self.mark is None or b"|" in w]
         for w in alone:
             self.known[w] = self._ids(w.decode(errors="replace")).tobytes()

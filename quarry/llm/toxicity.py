@@ -20,7 +20,7 @@ from quarry.llm._labels import sample
 from quarry.llm._spark import documents, real_id
 
 #: Labelled documents that training uses at most, and words of each whose places among the sentences it keeps.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 4_000
 BUCKETS, LEAST_DOCS, LEAST_SURPRISE, EPOCHS, OFFENDING = 1 << 20, 3, 11.0, 200, 0.5
 #: A word counts with its beginnings of so many bytes, so that inflected forms share a weight.
 BEGINNINGS = (4, 5, 6)
