@@ -11,12 +11,11 @@ binary probes of the long lists' shingles.
    document has too and the length of those lists. Lists of one document answer nothing.
 3. Each document that shares fewer than T shingles is done. The others (about a tenth) keep their shared
    shingles and the shortest lists' shingles to be merged.
-4. Each short list links its documents to its first document: linear in the list, however long. The pairs
-   are confirmed on the whole sets, and connected components formed.
-5. Where lists still have many pairs in different components, a few documents of a list's largest component
-   meet the others of the list, again linear in the list, and so on for some rounds.
-6. All pairs that share a short list and are still in different components are confirmed, so no link between
-   components is missed and no group is expanded into all its pairs.
+4. Each short list links its documents to the one with most shared shingles: linear in the list, however long.
+   The pairs are confirmed on the whole sets, and connected components formed.
+5. All other pairs that share a short list, are still in different components and have enough shared shingles
+   for the overlap are confirmed, so no link between components is missed and no group is expanded into
+   all its pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +34,6 @@ from quarry.llm._spark import NULL_ID, components, cut, documents, partitions, r
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Shingles that a task holds before it sends them.
 HELD = 1_500_000
-#: Rounds of step 5 at most, documents sent in each, and pairs left per list entry at which they end. They only
-#: decide how soon step 6 takes over, which is exact however many pairs are left.
-ROUNDS, ENVOYS, PAIRS_PER_ENTRY = 6, 4, 1
 _BASE = 0xE7037ED1A0B428DB
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, lengths binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -210,8 +206,8 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [tx.of(x, np.int64) for x in batch.column("short").to_pylist()]
         many = [len(x) for x in cells]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(cells) if cells else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("id", "tag", "n"))],
-            ["token", "id", "tag", "n"],
+            [pa.array(np.concatenate(cells) if cells else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("id", "tag", "n", "k"))],
+            ["token", "id", "tag", "n", "k"],
         )
 
 
@@ -255,9 +251,11 @@ def ngram_jaccard_join(
     all_docs = cut(told.mapInArrow(_sift(num, den), "id long, tag long, n long, lead long, shared binary, short binary"))
     sets = all_docs.where("shared is not null").select("id", "tag", "n", "shared")
     entries = cut(
-        all_docs.where("shared is not null").select("id", "tag", "n", "short").mapInArrow(_explode, "token long, id long, tag long, n long")
-    )
-    close = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+        all_docs.where("shared is not null").selectExpr("id", "tag", "n", "octet_length(shared) div 8 as k", "short")
+        .mapInArrow(_explode, "token long, id long, tag long, n long, k long")
+    )
+    # neither size nor number of shared shingles, k, rules the pair out: the overlap is at most the smaller k
+    close = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {num + den} * least(k, l) >= {num} * (n + m)")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs: (a, ta, b, tb), each once."""
@@ -266,61 +264,40 @@ def ngram_jaccard_join(
         both = pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "b", "n", "m", "x", "y")
         return cut(both.mapInArrow(_confirm(num, den), "a long, b long"))
 
-    # (size, id, tag): the longest set leads a list, as it has most shingles in common with the others
-    heads = entries.groupBy("token").agg(F.max(F.struct("n", "id", "tag")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    # the document with most shared shingles leads a list: copies of one text share nearly what they kept of it
+    heads = entries.groupBy("token").agg(F.min(F.struct((-F.col("k")).alias("col1"), F.col("n"), F.col("id"), F.col("tag"))).alias("head"), F.count("*").alias("c")).where("c > 1")
     star = (
         entries.join(heads, "token")
-        .selectExpr("head.id a", "head.tag ta", "id b", "tag tb", "n", "head.n m")
+        .selectExpr("head.id a", "head.tag ta", "id b", "tag tb", "n", "head.n m", "k", "-head.col1 l")
         .where(close & F.expr("a <> b or ta <> tb"))
         .select("a", "ta", "b", "tb")
         .distinct()
     )
     same = all_docs.where("lead <> id").selectExpr("id a", "lead b")
-    links = confirmed(star).union(same)
-    part_of = cut(components(links))
-
-    most = PAIRS_PER_ENTRY * entries.count()
-    for turn in range(ROUNDS + 1):
-        # lists whose documents are not all in one component yet
-        placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "coalesce(component, id) c")
-        sizes = placed.groupBy("token", "c").count()
-        open_lists = cut(
-            sizes.groupBy("token")
-            .agg(F.sum("count").alias("k"), F.sum(F.expr("cast(count as double) * count")).alias("own"), F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("cs"))
-            .where("cs > 1")
-            .selectExpr("token", "top.c top", "(cast(k as double) * k - own) / 2 pairs")
-        )
-        left_over = cut(placed.join(open_lists.drop("pairs"), "token"))
-        if turn == ROUNDS or (open_lists.agg(F.sum("pairs")).first()[0] or 0) <= most:
-            break
-        # each list's largest component sends a few of its documents to meet the list's others
-        envoys = (
-            left_over.where("c = top")
-            .groupBy("token")
-            .agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", "tag", F.lit(turn * ENVOYS + k)).alias("o"), "id", "tag", "n")) for k in range(ENVOYS)))).alias("e"))
-            .selectExpr("token", "explode(e) e")
-        )
-        met = (
-            left_over.where("c <> top")
-            .selectExpr("token", "id b", "tag tb", "n m")
-            .join(envoys.selectExpr("token", "e.id a", "e.tag ta", "e.n n"), "token")
-            .where(close)
-            .select("a", "ta", "b", "tb")
-            .distinct()
-        )
-        links = links.union(confirmed(met))
-        part_of = cut(components(links))
+    part_of = cut(components(confirmed(star).union(same)))
+
+    # lists whose documents are not all in one component yet
+    placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "k", "coalesce(component, id) c")
+    open_lists = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    left_over = cut(placed.join(open_lists, "token"))
     rest = (
-        left_over.selectExpr("token", "id a", "tag ta", "n", "c")
-        .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "c d"), "token")
+        left_over.selectExpr("token", "id a", "tag ta", "n", "k", "c")
+        .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "k l", "c d"), "token")
         .where(F.expr("c < d") & close)
         .select("a", "ta", "b", "tb")
         .distinct()
     )
-    part_of = components(links.union(confirmed(rest)))
-    out = all_docs.select("id", "n").join(part_of, "id", "left")
+    more = confirmed(rest)
+    ids = part_of.select(F.col("id"), F.col("component").alias("c"))
+    between = (
+        more.join(ids.withColumnsRenamed({"id": "a", "c": "ca"}), "a", "left")
+        .join(ids.withColumnsRenamed({"id": "b", "c": "cb"}), "b", "left")
+        .selectExpr("coalesce(ca, a) a", "coalesce(cb, b) b")
+    )
+    joined = components(between).withColumnsRenamed({"id": "c", "component": "joined"})
+    out = all_docs.select("id", "n").join(part_of, "id", "left").withColumn("c", F.coalesce("component", "id")).join(joined, "c", "left")
     return out.select(
-        real_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real_id(F.coalesce("component", "id")).alias("component_id")
+        real_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real_id(F.coalesce("joined", "c")).alias("component_id")
     )
 
 
