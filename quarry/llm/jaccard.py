@@ -37,6 +37,8 @@ HELD = 1_500_000
 _BASE = 0xE7037ED1A0B428DB
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, lengths binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
+#: Parities of a document's shared shingles by the last byte of the hash, as four numbers.
+_BITS = ("b0", "b1", "b2", "b3")
 #: Kinds of rows: sets, answers, (document, set size, first document with the set).
 _SETS, _ANSWERS, _META = 0, 1, 2
 
@@ -171,7 +173,7 @@ def _sift(num: int, den: int):
         if not metas:
             return
         ids, tags, n, lead = (np.concatenate([x[k] for x in metas]) for k in range(4))
-        shared, short = [None] * len(ids), [None] * len(ids)
+        shared, short, bits = ([None] * len(ids) for _ in range(3))
         if answers:
             a_ids, a_tags, a_n, h, length = (np.concatenate([x[k] for x in answers]) for k in range(5))
             # the first row of each document that was sent, by (id, tag)
@@ -193,9 +195,11 @@ def _sift(num: int, den: int):
                 least = int(needed(n[d], num, den))
                 if k >= least:
                     shared[d], short[d] = new.tobytes(), own[: k - least + 1].tobytes()
+                    odd = np.bincount((new & tx.U(255)).astype(np.int64), minlength=256) & 1
+                    bits[d] = np.packbits(odd.astype(np.uint8)).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(tags), pa.array(n), pa.array(lead), pa.array(shared, pa.binary()), pa.array(short, pa.binary())],
-            ["id", "tag", "n", "lead", "shared", "short"],
+            [pa.array(ids), pa.array(tags), pa.array(n), pa.array(lead), *(pa.array(x, pa.binary()) for x in (shared, short, bits))],
+            ["id", "tag", "n", "lead", "shared", "short", "bits"],
         )
 
     return run
@@ -205,9 +209,12 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cells = [tx.of(x, np.int64) for x in batch.column("short").to_pylist()]
         many = [len(x) for x in cells]
+        if not cells:
+            continue
+        odd = np.array([tx.of(x, np.int64) for x in batch.column("bits").to_pylist()]).T
+        own = [*(batch.column(c).to_numpy() for c in ("id", "tag", "n", "k")), *odd]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(cells) if cells else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("id", "tag", "n", "k"))],
-            ["token", "id", "tag", "n", "k"],
+            [pa.array(np.concatenate(cells)), *(pa.array(np.repeat(x, many)) for x in own)], ["token", "id", "tag", "n", "k", *_BITS]
         )
 
 
@@ -248,14 +255,20 @@ def ngram_jaccard_join(
     own = documents(docs, id_col, text_col)
     sent = own.mapInArrow(_send(shingle, parts), _SENT).repartitionById(parts, F.col("part"))
     told = sent.mapInArrow(_lists(parts), _SENT).repartitionById(parts, F.col("part"))
-    all_docs = cut(told.mapInArrow(_sift(num, den), "id long, tag long, n long, lead long, shared binary, short binary"))
+    all_docs = cut(told.mapInArrow(_sift(num, den), "id long, tag long, n long, lead long, shared binary, short binary, bits binary"))
     sets = all_docs.where("shared is not null").select("id", "tag", "n", "shared")
     entries = cut(
-        all_docs.where("shared is not null").selectExpr("id", "tag", "n", "octet_length(shared) div 8 as k", "short")
-        .mapInArrow(_explode, "token long, id long, tag long, n long, k long")
+        all_docs.where("shared is not null").selectExpr("id", "tag", "n", "octet_length(shared) div 8 as k", "short", "bits")
+        .mapInArrow(_explode, "token long, id long, tag long, n long, k long, " + ", ".join(f"{b} long" for b in _BITS))
     )
-    # neither size nor number of shared shingles, k, rules the pair out: the overlap is at most the smaller k
-    close = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {num + den} * least(k, l) >= {num} * (n + m)")
+    # neither size nor number of shared shingles, k, rules the pair out: the overlap is at most the smaller k, and
+    # at most (k + l - bits that differ) / 2, as each shingle in one of the sets flips one bit
+    differ = " + ".join(f"bit_count({b} ^ o{b})" for b in _BITS)
+    close = F.expr(
+        f"""{den} * least(n, m) >= {num} * greatest(n, m) and {num + den} * least(k, l) >= {num} * (n + m)
+            and {num + den} * (k + l - ({differ})) >= {2 * num} * (n + m)"""
+    )
+    mine, other = list(_BITS), [f"{b} o{b}" for b in _BITS]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs: (a, ta, b, tb), each once."""
@@ -265,10 +278,10 @@ def ngram_jaccard_join(
         return cut(both.mapInArrow(_confirm(num, den), "a long, b long"))
 
     # the document with most shared shingles leads a list: copies of one text share nearly what they kept of it
-    heads = entries.groupBy("token").agg(F.min(F.struct((-F.col("k")).alias("col1"), F.col("n"), F.col("id"), F.col("tag"))).alias("head"), F.count("*").alias("c")).where("c > 1")
+    heads = entries.groupBy("token").agg(F.min(F.struct((-F.col("k")).alias("col1"), F.col("n"), F.col("id"), F.col("tag"), *(F.col(b) for b in _BITS))).alias("head"), F.count("*").alias("c")).where("c > 1")
     star = (
         entries.join(heads, "token")
-        .selectExpr("head.id a", "head.tag ta", "id b", "tag tb", "n", "head.n m", "k", "-head.col1 l")
+        .selectExpr("head.id a", "head.tag ta", "id b", "tag tb", "n", "head.n m", "k", "-head.col1 l", *mine, *(f"head.{b} o{b}" for b in _BITS))
         .where(close & F.expr("a <> b or ta <> tb"))
         .select("a", "ta", "b", "tb")
         .distinct()
@@ -277,12 +290,12 @@ def ngram_jaccard_join(
     part_of = cut(components(confirmed(star).union(same)))
 
     # lists whose documents are not all in one component yet
-    placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "k", "coalesce(component, id) c")
+    placed = entries.join(part_of, "id", "left").selectExpr("token", "id", "tag", "n", "k", "coalesce(component, id) c", *mine)
     open_lists = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     left_over = cut(placed.join(open_lists, "token"))
     rest = (
-        left_over.selectExpr("token", "id a", "tag ta", "n", "k", "c")
-        .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "k l", "c d"), "token")
+        left_over.selectExpr("token", "id a", "tag ta", "n", "k", "c", *mine)
+        .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "k l", "c d", *other), "token")
         .where(F.expr("c < d") & close)
         .select("a", "ta", "b", "tb")
         .distinct()
