@@ -138,13 +138,26 @@ def like(v: Val, p: Val, pattern, escape: str | None, negated: bool) -> Column:
         return F.coalesce(_is(v, "s") & (~hit if negated else hit), F.lit(False))
     if v.kind not in ("str", "dyn") or p.kind not in ("str", "dyn"):
         return F.lit(False)
-    esc = F.lit(escape) if escape else F.lit(None).cast("string")
-    # tokens of the pattern as a regular expression: escaped characters, wildcards, the rest quoted
-    one = re.escape(escape) + r"([\s\S])" if escape else r"(?!)()"
-    body = F.concat(F.lit("(?s)^\\Q"), F.regexp_replace(F.regexp_replace(F.regexp_replace(p.col, r"\\E", r"\\E\\\\E\\Q"), one, "$1"), r"(?<!)_", r"\\E.\\Q"), F.lit("\\E\\z"))
-    body = F.regexp_replace(F.regexp_replace(body, r"(?<!)%", r"\\E.*\\Q"), "[]", "")
+    body = pattern_regex(p.col, escape)
     hit = F.regexp_like(v.col, body)
-    return F.coalesce(_is(v, "s") & _is(p, "s") & (~hit if negated else hit), F.lit(False)) if escape is None or esc is not None else F.lit(False)
+    return F.coalesce(_is(v, "s") & _is(p, "s") & (~hit if negated else hit), F.lit(False))
+
+
+def pattern_regex(pattern: Column, escape: str | None) -> Column:
+    """A LIKE pattern from the data as a regular expression, character by character."""
+    quote = lambda c: F.when(c.rlike("^[A-Za-z0-9 ]$"), c).otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+    pair = lambda r, e: F.struct(r.alias("r"), e.alias("e"))
+
+    def step(a: Column, c: Column) -> Column:
+        wild = F.when(c == "_", F.lit(".")).when(c == "%", F.lit(".*")).otherwise(quote(c))
+        plain = pair(F.concat(a["r"], wild), F.lit(False))
+        if escape is None:
+            return plain
+        return F.when(a["e"], pair(F.concat(a["r"], quote(c)), F.lit(False))).when(c == F.lit(escape), pair(a["r"], F.lit(True))).otherwise(plain)
+
+    chars = F.filter(F.split(pattern, ""), lambda c: c != "")
+    last = lambda a: F.concat(a["r"], F.when(a["e"], quote(F.lit(escape or ""))).otherwise(""), F.lit("\\z"))
+    return F.aggregate(chars, pair(F.lit("(?s)^"), F.lit(False)), step, last)
 
 
 def arithmetic(op: str, a: Val, b: Val) -> Val:
@@ -157,7 +170,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         return Val("num", F.coalesce(fn(x, y).cast("decimal(38,0)"), big.cast("decimal(38,0)")))
     x, y = number_of(a, strict=True), number_of(b, strict=True)
     if op == "/":
-        return Val("num", F.when(y == 0, fail("value: division by zero").cast(DEC)).otherwise(F.bround(x.cast("decimal(38,10)") / F.nullif(y, F.lit(0).cast(DEC)), 10).cast(DEC)))
+        return Val("num", F.when(y == 0, fail("value: division by zero").cast(DEC)).otherwise(F.bround(x / F.nullif(y, F.lit(0).cast(DEC)), 10).cast(DEC)))
     if op == "%":
         odd = (F.bround(x, 0) != x) | (F.bround(y, 0) != y)
         return Val("num", F.when(odd, fail("value: % needs integers").cast(DEC)).when(y == 0, fail("value: division by zero").cast(DEC)).otherwise((x % F.nullif(y, F.lit(0).cast(DEC))).cast(DEC)))
