@@ -165,10 +165,10 @@ def quality_rules(
         *([F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("rest")] if rest else []),
     )
     d = base_columns(own).withColumn("base_failed", base_failed()).drop("text")
-    # written once, without the texts: both the labelled holdouts and the verdicts read it
-    narrow = _ratios(cut(d.drop("rest")))
-    found = cutoffs(narrow, _marks(labels, id_col), risk, level)
-    return _judged(_ratios(d) if rest else narrow, found).select(
+    # written once: the labelled holdouts and the verdicts read it, the former without the rest
+    d = cut(d)
+    found = cutoffs(_ratios(d.drop("rest")), _marks(labels, id_col), risk, level)
+    return _judged(_ratios(d), found).select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum",
         "failed_rules", *(["rest"] if rest else []),
     )
