@@ -83,5 +83,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose rows no learned model, greedy order or tokenizer decides."""
+    return {
+        "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+            x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+            y AS (SELECT doc_id, n, k, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+            s AS (SELECT DISTINCT doc_id, g FROM y WHERE g IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+            c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM o JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * m >= 80 * (ca.n + cb.n - m)),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+            SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+            w1 AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+            w2 AS (SELECT *, word || ' ' || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY k) AS s2 FROM w1),
+            w4 AS (SELECT *, s2 || ' ' || lead(s2, 2) OVER (PARTITION BY doc_id ORDER BY k) AS s4 FROM w2),
+            w8 AS (SELECT *, s4 || ' ' || lead(s4, 4) OVER (PARTITION BY doc_id ORDER BY k) AS s8 FROM w4),
+            w20 AS (SELECT doc_id, word, k, s8 || ' ' || lead(s8, 8) OVER o || ' ' || lead(s4, 16) OVER o AS s FROM w8 WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+            r AS (SELECT doc_id, word, k, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, k) > 1 AS r FROM w20),
+            c AS (SELECT doc_id, word, k, bool_or(r) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
+            SELECT d.doc_id, count(c.k) AS n_words, count(*) FILTER (WHERE c.gone) AS n_removed, sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.k) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+            FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+    }
