@@ -42,6 +42,18 @@ def page(objects: DataFrame, prefix: str = "", delimiter: str | None = None, aft
     return Page(rows[:most], cut, rows[most - 1]["name"] if cut else None)
 
 
+def page_ordered(objects: DataFrame, prefix: str = "", after: str | None = None, most: int = 1000, key: str = "key") -> DataFrame:
+    """The first `most` whole rows after the marker, without rollup: a top-k, never a full sort."""
+    own = objects.where(F.col(key).startswith(prefix)) if prefix else objects
+    return (own.where(F.col(key) > after) if after else own).orderBy(key).limit(most)
+
+
+def pair_page(rows: DataFrame, first: str, second: str, marker: tuple[str, str | None] | None = None, most: int = 1000, second_descending: bool = False) -> DataFrame:
+    """Pages of uploads (key, upload id) or, with the second descending, of versions (key, newest first)."""
+    own = rows.where(after_pair(first, second, marker, second_descending)) if marker else rows
+    return own.orderBy(first, F.desc(second) if second_descending else F.asc(second)).limit(most)
+
+
 def after_pair(first: str, second: str, marker: tuple[str, str | None], second_descending: bool = False) -> Column:
     """Rows beyond a (key, id) marker; without an id, beyond all rows of the key."""
     a, b = marker

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.requests import scan_range
 from quarry.plans.compiler import DEC, Compiler, Val, display, fail, is_null, number_of, to_number
 from quarry.plans.parser import Agg, Plan, Ref, Unsupported, parse, references
 from quarry.sources import json_rows
@@ -22,7 +23,7 @@ class Input:
     kind: str = "PARQUET"  # CSV, JSON_LINES, JSON_DOCUMENT or PARQUET
     compression: str | None = None
     csv: CsvFormat = field(default_factory=CsvFormat)
-    scan: tuple[int, int | None] | None = None
+    scan: tuple[int | None, int | None] | None = None  # first and last byte; a last one alone: so many last bytes
 
 
 @dataclass(frozen=True)
@@ -236,11 +237,14 @@ def select_frame(df: DataFrame, sql: str) -> Result:
         at = _match(names, steps[0]) if at is None else at if at < len(names) else None
         if at is None:
             return _missing()
-        v = _native(names[at], df.schema[at].dataType)
+        v, present = _native(names[at], df.schema[at].dataType), None
         for s, flag in steps[1:]:
             kind = v.col is not None and df.select(v.col.alias("x")).schema["x"].dataType
             if s == "[]" and isinstance(kind, T.ArrayType):
-                c, t = F.get(v.col, F.lit(flag)) if flag >= 0 else F.lit(None).cast(kind.elementType), kind.elementType
+                if flag < 0:
+                    return _missing()
+                c, t, here = F.get(v.col, F.lit(flag)), kind.elementType, F.coalesce(F.size(v.col) > flag, F.lit(False))
+                present = here if present is None else present & here
             elif s != "[]" and isinstance(kind, T.StructType):
                 k = _match(kind.names, (flag, True) if s == "[k]" else (s, flag))
                 if k is None:
@@ -249,7 +253,7 @@ def select_frame(df: DataFrame, sql: str) -> Result:
             else:
                 return _missing()
             inner = _native("x", t)
-            v = Val(inner.kind, c, native=c if inner.native is not None else None)
+            v = Val(inner.kind, c, native=c if inner.native is not None else None, present=present)
         return v
 
     return run(df, names, plan, resolve, None)
@@ -262,6 +266,9 @@ def select(spark: SparkSession, path: str, sql: str, source: Input | None = None
         if source.scan or source.compression not in (None, "", "NONE"):
             raise ValueError("Parquet takes neither a scan range nor a compression")
         return select_frame(spark.read.parquet(path), sql)
+    if source.scan and source.compression in (None, "", "NONE"):
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+        source = replace(source, scan=scan_range(*source.scan, size))
     if source.kind == "CSV":
         if plan.path:
             raise Unsupported("a FROM path over CSV")
