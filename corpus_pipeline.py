@@ -24,9 +24,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies; rows without an id stay."""
+    """The document with the smallest id of each component of near copies; rows without an id stay.
+
+    Of several rows of that id the one whose text is smallest stays (null texts come last).
+    """
     first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    row = F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.struct(docs["text"].isNull(), docs["text"])).alias("row")
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
     return kept.union(docs.where("doc_id is null"))
 
 
