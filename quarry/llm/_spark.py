@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,43 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that cut() wrote: path -> weak reference to the JVM's file index, which each plan over the table holds.
+_written: dict = {}
+#: Seconds between two collections of the driver's garbage that release() asks for.
+_COLLECT_S = 4.0
+_collected = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables of cut() that no frame's plan reads any longer. The collection that tells this lets
+    Spark's own cleaner drop the shuffle files of finished steps, too."""
+    global _collected
+    jvm = spark.sparkContext._jvm
+    if _written and time.monotonic() - _collected >= _COLLECT_S:
+        jvm.System.gc()
+        _collected = time.monotonic()
+    for at, (owner, index) in list(_written.items()):
+        if owner is not spark.sparkContext:  # its JVM's folder is no longer ours
+            del _written[at]
+        elif index.get() is None:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            del _written[at]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The table is deleted by a later call once nothing reads it.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _written[at] = (spark.sparkContext, spark.sparkContext._jvm.java.lang.ref.WeakReference(index))
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
