@@ -272,9 +272,12 @@ def ngram_jaccard_join(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs: (a, ta, b, tb), each once."""
-        left = sets.selectExpr("id a", "tag ta", "n", "shared x")
-        right = sets.selectExpr("id b", "tag tb", "n m", "shared y")
-        both = pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "b", "n", "m", "x", "y")
+        # both sides read sets under the same names, so that Spark deals them out once
+        both = (
+            pairs.join(sets.alias("s"), F.expr("a = s.id and ta = s.tag"))
+            .join(sets.alias("t"), F.expr("b = t.id and tb = t.tag"))
+            .selectExpr("a", "b", "s.n n", "t.n m", "s.shared x", "t.shared y")
+        )
         return cut(both.mapInArrow(_confirm(num, den), "a long, b long"))
 
     # the document with most shared shingles leads a list: copies of one text share nearly what they kept of it
