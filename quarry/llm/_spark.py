@@ -30,19 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables that cut() wrote: path -> weak reference to the JVM's file index, which each plan over the table holds.
 _written: dict = {}
-#: Seconds between two collections of the driver's garbage that release() asks for.
-_COLLECT_S = 4.0
-_collected = 0.0
+#: Writes that took so many seconds are followed by a collection of the driver's garbage, which takes less.
+_COLLECT_S = 1.0
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, collect: bool = True) -> None:
     """Delete the tables of cut() that no frame's plan reads any longer. The collection that tells this lets
     Spark's own cleaner drop the shuffle files of finished steps, too."""
-    global _collected
     jvm = spark.sparkContext._jvm
-    if _written and time.monotonic() - _collected >= _COLLECT_S:
+    if collect:
         jvm.System.gc()
-        _collected = time.monotonic()
     for at, (owner, index) in list(_written.items()):
         if owner is not spark.sparkContext:  # its JVM's folder is no longer ours
             del _written[at]
@@ -59,8 +56,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    release(spark)
-    df.write.parquet(at)
+    began = time.monotonic()
+    df.write.option("compression", "zstd").parquet(at)
+    release(spark, time.monotonic() - began >= _COLLECT_S)
     out = spark.read.schema(df.schema).parquet(at)
     index = out._jdf.queryExecution().analyzed().relation().location()
     _written[at] = (spark.sparkContext, spark.sparkContext._jvm.java.lang.ref.WeakReference(index))
