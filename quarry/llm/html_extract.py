@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe svg math object textarea select title".split()
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = "script style template iframe svg object textarea select title annotation annotation-xml".split()
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var noscript".split())
+MATH = set("math maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 NEVER = {"head", "form", "button", "fieldset"}
@@ -33,7 +35,7 @@ BAD = "nav menu header footer side aside ad ads advert banner promo sponsor cook
 TAGS = "html body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside address details".split()
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -52,25 +54,28 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, node it belongs to)
         text: list[str] = []
-        links = at = 0
+        links = quiet = at = 0  # open links, open noscripts
 
         def flush() -> None:
             if text:
                 block = " ".join("".join(text).split())
-                if block:
+                if block and stack[-1][1] >= 0:
                     self.blocks.append((stack[-1][1], block))
                 text.clear()
 
         def close(k: int) -> None:
-            nonlocal links
+            nonlocal links, quiet
             if any(t not in INLINE for t, _ in stack[k:]):
                 flush()
             links -= sum(t == "a" for t, _ in stack[k:])
+            quiet -= sum(t == "noscript" for t, _ in stack[k:])
             del stack[k:]
 
         def say(raw: str) -> None:
             if raw:
                 text.append(html.unescape(raw))
+                if quiet:
+                    return
                 n = len(raw.strip())
                 self.own[stack[-1][1]] += n
                 if links > 0:
@@ -93,7 +98,7 @@ class Page:
                     if stack[k][0] == "p":
                         close(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k][0] not in INLINE or stack[k][0] == "noscript":
                         break
             if tag in SCOPES:
                 for k in range(len(stack) - 1, 0, -1):
@@ -109,12 +114,20 @@ class Page:
                     flush()
                 continue
             if tag in INLINE:
+                if tag in ("mtr", "mtd"):
+                    text.append(" ")
+                if tag in MATH and m[4].rstrip().endswith("/"):
+                    continue
                 links += tag == "a"
+                quiet += tag == "noscript"
                 stack.append((tag, stack[-1][1]))
                 continue
             if tag == "html" and len(self.tag) == 1:
                 continue
             flush()
+            if quiet:  # stands or falls with the element around the noscript, of which it is no evidence
+                stack.append((tag, -1 if tag in NEVER else stack[-1][1]))
+                continue
             label = _LABEL.search(m[4])
             self.parent.append(stack[-1][1])
             self.tag.append(tag)
@@ -122,7 +135,7 @@ class Page:
             self.label.append(int(label[1]) if label else None)
             self.own.append(0)
             self.linked.append(0)
-            if not m[4].rstrip().endswith("/") or tag not in ("svg", "path"):
+            if not m[4].rstrip().endswith("/") or tag != "path":
                 stack.append((tag, len(self.tag) - 1))
         say(source[at:])
         flush()
@@ -285,7 +298,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Character references are decoded, white space within a block is one space; a br counts as white space.
     Null or empty pages, and those without content, have an empty text. Unclosed and misnested elements are
-    closed as browsers do; an unfinished tag at the end is markup. Repeated rows give repeated rows, other columns
+    closed as browsers do; an unfinished tag at the end is markup. A formula in MathML is its text without its
+    annotations; a noscript's text counts if the element around it is content. Repeated rows give repeated rows, other columns
     are ignored, an empty table gives none.
     """
     own = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))

@@ -11,7 +11,7 @@ import pytest
 
 from quarry.llm.chat import format_chat
 from quarry.llm.decontaminate import contaminated, tiles
-from quarry.llm.html_extract import extract_main_text
+from quarry.llm.html_extract import extract_main_text, main_texts
 from quarry.llm.jaccard import ngram_jaccard_join
 from quarry.llm.packing import best_fit_packing, pack_lengths
 from quarry.llm.quality_model import quality
@@ -158,6 +158,25 @@ def test_html(spark):
     assert {r.page_id: r.text for r in extract_main_text(d).collect()} == {1: "T & t\n\nsome words here, and more of them", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize(
+    "icon",
+    ['<svg class="i"/>', "<svg/>", '<svg a="/" b=\'>\' />', "<math/>", "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<select-box></select-box>", '<object-view a="b"></object-view>', "<svg><path d='M0'/></svg>"],
+)
+def test_html_keeps_what_follows_icons(icon):
+    page = f"<nav><ul><li><a href=x>{icon}Home</a></li></ul></nav><article><h1>Title</h1><p>the article text, and more of it</p></article>"
+    assert main_texts([page]) == ["Title\n\nthe article text, and more of it"]
+
+
+def test_html_formulas_and_noscript():
+    formula = '<math><semantics><mrow><mi>E</mi><mo>=</mo><mspace/><mi>m</mi></mrow><annotation encoding="tex">E=m</annotation></semantics></math>'
+    page = (
+        "<head><noscript>no head</noscript></head><body><noscript><p>Please enable the scripts of this page to see all of it.</p></noscript>"
+        f"<article><h1>Title</h1><p>we know that {formula} holds <noscript><img src=x></noscript> for all of them</p>"
+        "<noscript><form><p>sign in</p></form><p>a table in words</p></noscript><p>the last words of the article</p></article></body>"
+    )
+    assert main_texts([page]) == ["Title\n\nwe know that E=m holds for all of them\n\na table in words\n\nthe last words of the article"]
+
+
 def test_classifiers(spark, docs, empty):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
