@@ -91,7 +91,9 @@ def kd_shards(
         split: dict[int, tuple[int, int]] = {}
         arms_key, arms_goal = [], []
         for n, (k, first) in nodes.items():
-            if k == 1 or n not in stats:
+            if n not in stats:  # no rows: its shards are empty
+                continue
+            if k == 1:
                 split[2 * n] = (k, first)
                 arms_goal.append((n, 9e18))
                 continue

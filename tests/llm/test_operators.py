@@ -139,6 +139,14 @@ def test_shards(docs, empty):
     assert kd_shards(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[3], [3] * 2, [3] * 7, [3] * 24, [0, 5, 9000] + [3] * 300])
+def test_shards_of_few_rows_and_of_one_large_document(spark, sizes):
+    t = spark.createDataFrame([(k, "x" * n, "en", "s", n) for k, n in enumerate(sizes)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = kd_shards(t, shards=24).toPandas()
+    assert sorted(got.doc_id) == list(range(len(sizes))) and set(got.shard) <= set(range(24))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_chat_links_orders_and_validates(spark):
     calls = [{"id": "b", "name": "add", "arguments": {"y": 2, "x": 1}, "after": ["a"]}, {"id": "a", "name": "get", "arguments": {"u": 5}}]
     t = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", json.dumps({"tool_calls": calls})), (1, 2, "tool", '{"tool_call_id":"a","content":"r"}'), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
