@@ -24,14 +24,6 @@ SHARDS, OVERHEAD = 24, 8
 DIMENSIONS = ("n_chars", "lang", "source")
 
 
-def _number(docs: DataFrame, name: str):
-    """A number in the order of the column; of strings the first six bytes; null: -1."""
-    if docs.schema[name].dataType.typeName() == "string":
-        head = F.rpad(F.hex(F.substring(docs[name], 1, 6)).substr(1, 12), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(docs[name].cast("double"), F.lit(-1.0))
-
-
 def _ranges(t: DataFrame, parts: int, keys: list[str]) -> DataFrame:
     """t range-partitioned by keys and written, with the range of each row as pid."""
     return cut(t.repartitionByRange(parts, *keys).withColumn("pid", F.spark_partition_id()))
@@ -44,6 +36,17 @@ def _ahead(ranged: DataFrame, group: str, value) -> DataFrame:
     return sums.select(group, "pid", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
 
 
+def _numbers(t: DataFrame, parts: int, name: str) -> DataFrame:
+    """t with a number in the order of the column in its place; of strings the rank among the distinct ones; null: -1."""
+    if t.schema[name].dataType.typeName() != "string":
+        return t.withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(-1.0)))
+    values = _ranges(t.where(F.col(name).isNotNull()).select(name, F.lit(0).alias("all")).distinct(), parts, [name])
+    own = F.row_number().over(Window.partitionBy("pid").orderBy(name)) - 1
+    ranks = values.withColumn("r", own).join(_ahead(values, "all", F.count("*")), ["all", "pid"])
+    ranks = ranks.select(name, (F.col("r") + F.col("ahead")).cast("double").alias("rank"))
+    return t.join(ranks, name, "left").withColumn(name, F.coalesce("rank", F.lit(-1.0))).drop("rank")
+
+
 def kd_shards(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -55,7 +58,8 @@ def kd_shards(
     """(doc_id, size, text_crc32, shard, slot): shards 0 to shards - 1 of near-equal bytes, slots gapless from 0.
 
     size is the text's UTF-8 bytes (null: none) plus 8. With target_bytes instead of shards there are as many
-    shards as keep the mean at most that. Dimensions that docs lacks don't count; null values come first; a
+    shards as keep the mean at most that. Dimensions that docs lacks don't count; strings count by their rank
+    among the distinct ones; null values come first; a
     null id comes last and stays null. Ties are cut by the crc of the text, then the id; repeated rows are rows of
     their own. With fewer rows than shards some shards are empty; an empty table gives none.
     """
@@ -67,11 +71,13 @@ def kd_shards(
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
-        *(_number(docs, d).alias(f"d{k}") for k, d in enumerate(names)),
+        *(docs[d].alias(f"d{k}") for k, d in enumerate(names)),
         F.lit(0).alias("node"),
     )
     t = cut(t)
     dims = [f"d{k}" for k in range(len(names))]
+    if dims:
+        t = cut(reduce(lambda u, d: _numbers(u, parts, d), dims, t))
     whole: dict[str, float] = {}
     nodes: dict[int, tuple[int, int]] = {}  # node -> (shards, its first shard)
     level = 0

@@ -147,6 +147,14 @@ def test_shards_of_few_rows_and_of_one_large_document(spark, sizes):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_shards_tell_long_sources_apart(spark):
+    t = spark.createDataFrame([(k, f"text {k}", "en", f"https://site{k % 4}.org", 6) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    t = t.union(spark.sql("select 40L + id, concat('text ', id), 'en', cast(null as string), 6L from range(10)"))
+    got = kd_shards(t, shards=5).toPandas()
+    source = np.where(got.doc_id < 40, got.doc_id % 4 + 1, 0)
+    assert sorted(set(zip(source, got.shard))) == [(k, k) for k in range(5)]
+
+
 def test_chat_links_orders_and_validates(spark):
     calls = [{"id": "b", "name": "add", "arguments": {"y": 2, "x": 1}, "after": ["a"]}, {"id": "a", "name": "get", "arguments": {"u": 5}}]
     t = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", json.dumps({"tool_calls": calls})), (1, 2, "tool", '{"tool_call_id":"a","content":"r"}'), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
