@@ -246,13 +246,26 @@ def ngram_jaccard_join(
     whole sequence is its only shingle; without words the set is empty and linked with nothing. Two documents
     are linked if overlap / union >= similarity; component_id is the smallest id reachable by links.
 
-    Null texts count as empty. Rows with one id are one node: links of any of them count for all. A null
-    id counts as larger than all others; alone, its component is null. Other columns are ignored; an empty
-    table gives none. similarity is an exact fraction.
+    Null texts count as empty. Rows of one id with unlike texts are not linked by their id, nor are rows without
+    one. A null id counts as larger than all others; alone, its component is null. Other columns are ignored; an
+    empty table gives none. similarity is an exact fraction.
     """
-    num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
-    parts = partitions(docs.sparkSession)
     own = documents(docs, id_col, text_col)
+    if own.groupBy("id").count().where((F.col("count") > 1) | (F.col("id") == NULL_ID)).isEmpty():
+        out = _joined(own, shingle, similarity)
+    else:  # a node for each id and text
+        own = own.withColumn("node", F.xxhash64("id", "text"))
+        nodes = cut(_joined(own.selectExpr("node id", "text"), shingle, similarity).dropDuplicates(["id"]))
+        rows = cut(own.select("id", "node").join(nodes.withColumnRenamed("id", "node"), "node"))
+        least = rows.groupBy("component").agg(F.min("id").alias("least"))
+        out = rows.join(least, "component").selectExpr("id", "n", "least component")
+    return out.select(real_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real_id(F.col("component")).alias("component_id"))
+
+
+def _joined(own: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """(id, n, component) for (id, text); rows with one id are one node."""
+    num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
+    parts = partitions(own.sparkSession)
     sent = own.mapInArrow(_send(shingle, parts), _SENT).repartitionById(parts, F.col("part"))
     told = sent.mapInArrow(_lists(parts), _SENT).repartitionById(parts, F.col("part"))
     all_docs = cut(told.mapInArrow(_sift(num, den), "id long, tag long, n long, lead long, shared binary, short binary, bits binary"))
@@ -312,9 +325,7 @@ def ngram_jaccard_join(
     )
     joined = components(between).withColumnsRenamed({"id": "c", "component": "joined"})
     out = all_docs.select("id", "n").join(part_of, "id", "left").withColumn("c", F.coalesce("component", "id")).join(joined, "c", "left")
-    return out.select(
-        real_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real_id(F.coalesce("joined", "c")).alias("component_id")
-    )
+    return out.select("id", "n", F.coalesce("joined", "c").alias("component"))
 
 
 __all__ = ["NULL_ID", "ngram_jaccard_join", "shingle_sets"]

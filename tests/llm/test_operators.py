@@ -65,6 +65,14 @@ def test_jaccard(docs, empty):
     assert ngram_jaccard_join(empty).count() == 0
 
 
+def test_jaccard_does_not_link_by_repeated_or_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    data = [(1, a), (1, b), (2, b + " end"), (3, c), (4, d), (None, c + " end"), (None, d + " end"), (None, "alone"), (None, None)]
+    got = ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 36, 3), (4, 36, 4), (None, 37, 3), (None, 37, 4), (None, 1, None), (None, 0, None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_substring_dedup(docs, empty):
     seen, want = set(), {}
     for i, t in sorted(dict(rows()).items()):

@@ -86,3 +86,11 @@ def test_rows_of_one_id_leave_one_row_whatever_their_order(spark):
     for order in (data, data[::-1]):
         got = corpus_pipeline.keep_one_of_group(spark, spark.createDataFrame(order, SCHEMA).repartition(1), "").collect()
         assert [r.text for r in got] == ["a c d e f"]
+
+
+def test_no_document_goes_for_a_row_that_goes_too(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    data = [(1, a), (1, b), (2, b + " end"), (3, c), (4, d), (None, c + " end"), (None, d + " end"), (5, d)]
+    t = spark.createDataFrame([(i, x, "en", "s", 1, "x", "y", True, 0) for i, x in data], SCHEMA)
+    got = corpus_pipeline.keep_one_of_group(spark, t, "").collect()
+    assert {(r.doc_id, r.text) for r in got} == set(data) - {(1, b), (5, d)} and len(got) == 6
