@@ -221,7 +221,7 @@ def _complement(have: np.ndarray, length: int, gap: int) -> list[int] | None:
         a = on_hand[(on_hand <= min(total - 1, most)) & (2 * on_hand >= total)]
         if len(a):
             b = total - a
-            ok = np.where(a == b, left[a] > 1, left[b] > 0)
+            ok = np.where(a == b, left[a] > 1, (left[a] > 0) & (left[b] > 0))
             if ok.any():
                 k = int(np.flatnonzero(ok)[-1])
                 return [int(a[k]), int(b[k])]

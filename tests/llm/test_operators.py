@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force, with nulls, empty and repeated rows and extra columns."""
 
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -13,7 +14,7 @@ from quarry.llm.chat import format_chat
 from quarry.llm.decontaminate import contaminated, tiles
 from quarry.llm.html_extract import extract_main_text, main_texts
 from quarry.llm.jaccard import ngram_jaccard_join
-from quarry.llm.packing import best_fit_packing, pack_lengths
+from quarry.llm.packing import _complement, best_fit_packing, pack_lengths
 from quarry.llm.quality_model import quality
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.shard import kd_shards
@@ -139,6 +140,18 @@ def test_packing_uses_complements():
     assert sum(n for _, n in pack_lengths({6: 2, 4: 1, 3: 1, 1: 1, 10: 1}, 10)) == 3
 
 
+def test_complements_are_on_hand():
+    rng = random.Random(4)
+    cases = [([8, 5, 4, 3, 2], 20)] + [([rng.randint(1, 12) for _ in range(rng.randint(1, 7))], 24) for _ in range(400)]
+    for lengths, capacity in cases:
+        top = max(lengths)
+        rest = Counter(lengths) - Counter([top])
+        sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(rest.elements(), k)}
+        found = _complement(np.bincount(lengths, minlength=capacity + 1), top, capacity - top)
+        assert (found is not None) == (capacity - top in sums)
+        assert found is None or (sum(found) == capacity - top and not Counter(found) - rest)
+
+
 def test_shards(docs, empty):
     got = kd_shards(docs, shards=5).toPandas()
     assert len(got) == len(rows()) and set(got.shard) <= set(range(5))
