@@ -1,9 +1,9 @@
-"""Exact Jaccard self-join of documents on word shingles, by T-occurrence search over inverted lists.
+"""Exact Jaccard self-join of documents on word shingles, by prefix-filtered inverted lists.
 
 Two sets of n and m shingles reach the threshold only if they share at least T = ceil(threshold * n)
 shingles of the first. So of the n inverted lists of a document the T - 1 longest need not be merged: a
-partner occurs in one of the other, shortest lists (DivideSkip). Partners found there are confirmed by
-binary probes of the long lists' shingles.
+partner occurs in one of the other, shortest lists. Partners found there are confirmed on the whole sets
+(not DivideSkip: lists are neither merged with counts nor probed).
 
 1. Each task hashes its documents' shingle sets, links documents with equal sets at once and sends the
    sets of the others, dealt by hash.
