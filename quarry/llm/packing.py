@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -46,20 +45,30 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Words of printable ASCII and of Latin letters that are composed and have a lower case of one letter.
+#: Words of Latin letters that are composed and have a lower case of one letter, and of printable ASCII.
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017e]+|[0-9]|[^a-z0-9\u00c0-\u017e]+")
 #: Byte-level vocabularies write byte b as a printable character: itself, or the next one from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-#: Words whose ids a Python worker remembers.
+#: Pieces whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 _PIECES = "id long, piece int, start long, length long, crc long"
+#: Classes of bytes: 0 white space, 1 letter, 2 digit, 3 mark, 4 what makes its word odd, 5 and 6 the bytes of Latin letters.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]], _CLASS[48:58], _CLASS[[9, 10, 11, 12, 13, 32]], _CLASS[39] = 1, 2, 0, 4
+_CLASS[195:198], _CLASS[128:192] = 5, 6
+#: Code points below 0x180 that _PLAIN takes as letters.
+_LATIN = np.array([k > 127 and _PLAIN.fullmatch(chr(k)) is not None for k in range(384)])
+_ODD = tx.U(0xC2B2AE3D27D4EB4F)
 
 
 class Tokens:
-    """Little-endian 32-bit ids of whole texts. White space never enters a token of the vocabulary, so a
-    text's ids are those of its words in turn, and each word need be tokenized only once a worker."""
+    """Little-endian 32-bit ids of whole texts. White space never enters a token of the vocabulary, so a text's ids
+    are those of its words in turn. Under the vocabulary's own rules a Latin word without apostrophes falls into
+    runs of letters, single digits and runs of marks; such pieces are cut and hashed for a whole block at a time,
+    and each distinct piece is merged only once a worker. All other words are odd: pieces of their own."""
 
     _own: dict[str, Tokens] = {}
 
@@ -68,14 +77,19 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
-        self.plain = sys.byteorder == "little" and (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.plain = (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
         mark = self._ids("|")
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: hashes in order, and where their ids lie in `flat`."""
+        self.keys, self.at, self.many = np.empty(0, tx.U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
     @classmethod
-    def at(cls, path: str) -> Tokens:
+    def at_path(cls, path: str) -> Tokens:
         if path not in cls._own:
             cls._own[path] = cls(path)
         return cls._own[path]
@@ -83,59 +97,106 @@ class Tokens:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Plain words go to the merges directly, in the pieces that the vocabulary's own rules give."""
-        merge, other = self.tokenizer.model.tokenize, []
-        for w in words:
-            text = w.decode(errors="replace")
-            if self.plain and _PLAIN.fullmatch(text):
-                ids = array("I")
-                for piece in _PIECE.findall(text.lower()):
+    def _learn(self, pieces: list[bytes], odd: list[bool]) -> tuple[array, list[int]]:
+        """Ids of the pieces in turn, and how many each has. Even pieces go to the merges as they are, odd but plain
+        ones in the pieces that the vocabulary's rules give."""
+        merge, ids, many, ends = self.tokenizer.model.tokenize, array("I"), [], []
+        whole = [k for k, w in enumerate(pieces) if odd[k] and not (self.plain and _PLAIN.fullmatch(w.decode(errors="replace")))]
+        known = dict(zip(whole, self._learn_whole([pieces[k] for k in whole])))
+        for k, w in enumerate(pieces):
+            if k in known:
+                ids.frombytes(known[k].tobytes())
+            elif not odd[k] and w.isascii():
+                ids.extend([t.id for t in merge(w.lower().decode())])
+            else:
+                text = w.decode().lower()
+                for piece in _PIECE.findall(text) if odd[k] else (text,):
                     if not piece.isascii():
                         piece = piece.encode().decode("latin-1").translate(_BYTES)
                     ids.extend([t.id for t in merge(piece)])
-                self.known[w] = ids.tobytes()
-            else:
-                other.append(w)
-        self._learn_whole(other)
-
-    def _learn_whole(self, words: list[bytes]) -> None:
-        alone = [w for w in words if self.mark is None or b"|" in w]
-        for w in alone:
-            self.known[w] = self._ids(w.decode(errors="replace")).tobytes()
-        rest = [w for w in words if self.mark is not None and b"|" not in w]
+            ends.append(len(ids))
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn_whole(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list = [self._ids(w.decode(errors="replace")) if self.mark is None or b"|" in w else None for w in words]
+        rest = [k for k, ids in enumerate(out) if ids is None]
         for at in range(0, len(rest), 2000):
             group = rest[at : at + 2000]
-            ids = self._ids(b" | ".join(group).decode(errors="replace"))
+            ids = self._ids(b" | ".join(words[k] for k in group).decode(errors="replace"))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             if len(ends) != len(group):
                 raise ValueError("the vocabulary joins words across white space")
-            data, lo = ids.tobytes(), 0
-            for w, hi in zip(group, ends):
-                self.known[w] = data[4 * lo : 4 * hi]
-                lo = int(hi) + 1
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self._learn(list(new.difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            for k, own in zip(group, np.split(ids, ends[:-1])):
+                out[k] = own if k == group[0] else own[1:]
+        return out
+
+    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash, whether it is an odd word, pieces of each text)"""
+        a, b, _ = tx.words(data, bounds)
+        kind = _CLASS[data]
+        lead = np.flatnonzero(kind == 5)
+        lead = lead[lead + 1 < len(data)]
+        lead = lead[kind[lead + 1] == 6]
+        lead = lead[_LATIN[(data[lead].astype(np.int64) & 31) << 6 | (data[lead + 1] & 63)]]
+        kind[lead], kind[lead + 1] = 1, 1
+        bad = kind >= 4 if self.plain else kind > 0
+        bad[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(bad, out=sums[1:])
+        odd = sums[b] > sums[a]
+        first = kind == 2
+        first[1:] |= kind[1:] != kind[:-1]
+        for x, y in zip(a[odd].tolist(), b[odd].tolist()):
+            first[x:y] = False
+        first &= kind > 0
+        first[a] = True
+        start = np.flatnonzero(first)
+        word = np.cumsum(np.bincount(np.searchsorted(start, a), minlength=len(start))) - 1 if len(a) else start
+        end = np.minimum(np.append(start[1:], len(data)), b[word])
+        odd = odd[word]
+        h = tx.word_hashes(data, start, end, lower=True)
+        own = np.flatnonzero(odd)
+        if len(own):
+            h[own] = tx.mix(tx.word_hashes(data, start[own], end[own]) ^ _ODD)
+        return start, end, h, odd, np.diff(np.searchsorted(start, bounds))
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each)"""
+        start, end, h, odd, counts = self._pieces(data, bounds)
+        order = np.argsort(h)
+        sorted_h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = sorted_h[1:] != sorted_h[:-1]
+        distinct, where = sorted_h[new], np.empty(len(h), np.int64)
+        where[order] = np.cumsum(new) - 1
+        example = order[new]  # a piece with each hash
+        if len(self.keys) + len(distinct) > REMEMBERED:
+            self._forget()
+        place = np.searchsorted(self.keys, distinct)
+        unknown = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(unknown):
+            at = example[unknown]
+            ids, many = self._learn([data[x:y].tobytes() for x, y in zip(start[at].tolist(), end[at].tolist())], odd[at].tolist())
+            heads = len(self.flat) + np.cumsum(many) - many
+            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+            self.keys, self.at, self.many = (np.insert(x, place[unknown], y) for x, y in ((self.keys, distinct[unknown]), (self.at, heads), (self.many, many)))
+            place = np.searchsorted(self.keys, distinct)
+        many = self.many[place][where]
+        ids = self.flat[np.repeat(self.at[place][where], many) + tx.ragged(many)]
+        return ids.astype("<u4", copy=False), tx.sums_by(many, counts)
 
 
 def _tokenize(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens.at(path)
+        tokens = Tokens.at_path(path)
         for ids, data, bounds in tx.blocks(batches):
-            whole = data.tobytes()
-            texts = tokens.encode([whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+            flat, many = tokens.encode(data, bounds)
+            flat, to = flat.tobytes(), (4 * np.cumsum(many)).tolist()
             rows = [
                 (i, p, at, min(capacity, n - at), zlib.crc32(t[4 * at : 4 * (at + capacity)]))
-                for i, t, n in ((i, t + end, len(t) // 4 + 1) for i, t in zip(ids.tolist(), texts))
+                for i, t, n in ((i, flat[z - 4 * m : z] + end, m + 1) for i, m, z in zip(ids.tolist(), many.tolist(), to))
                 for p, at in enumerate(range(0, n, capacity))
             ]
             columns = list(zip(*rows))
@@ -264,10 +325,12 @@ def best_fit_packing(
         base += n
     table = spark.createDataFrame(slots, "length long, lo long, hi long, each long, base long, at long")
 
-    dealt = cut(pieces.repartitionByRange(parts, "length", "id", "piece", "crc").withColumn("pid", F.spark_partition_id()))
+    # equal pieces, of copies without an id say, are told apart by their place in the written table
+    numbered = pieces.withColumn("u", F.monotonically_increasing_id())
+    dealt = cut(numbered.repartitionByRange(parts, "length", "id", "piece", "crc", "u").withColumn("pid", F.spark_partition_id()))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("length", "pid").count().select("length", "pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("length", "pid").orderBy("id", "piece", "crc")
+    own = Window.partitionBy("length", "pid").orderBy("id", "piece", "crc", "u")
     ranked = dealt.withColumn("r", F.row_number().over(own) - 1).join(ahead, ["length", "pid"]).withColumn("r", F.col("r") + F.col("ahead"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     return placed.select(
