@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.llm import _text as tx
 from quarry.llm._spark import NULL_ID, cut, documents, partitions, real_id
 
 WINDOW = 20
 #: Windows that a task holds before it sends them.
-HELD = 1_500_000
+HELD = 400_000
+#: Documents of a batch of intervals.
+BATCH = 50_000
 _BASE = 0xA0761D6478BD642F
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, steps binary, far binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -179,32 +180,21 @@ def _merge(width: int):
         at = np.flatnonzero(new)
         end = s[np.concatenate((at[1:] - 1, [len(s) - 1]))] + width
         docs, many = _docs_of(doc[at])
-        lists = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[of_rank[docs]]), pa.array(tags[of_rank[docs]]), pa.ListArray.from_arrays(lists, pa.array(s[at].astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(end.astype(np.int32)))],
-            ["id", "tag", "starts", "ends"],
-        )
+        lists = np.concatenate(([0], np.cumsum(many)))
+        first, last = s[at].astype(np.int32), end.astype(np.int32)
+        for lo in range(0, len(docs), BATCH):
+            own = of_rank[docs[lo : lo + BATCH]]
+            cells = lists[lo : lo + BATCH + 1]
+            inside = pa.array((cells - cells[0]).astype(np.int32))
+            spans = (pa.ListArray.from_arrays(inside, pa.array(x[cells[0] : cells[-1]])) for x in (first, last))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(tags[own]), *spans], ["id", "tag", "starts", "ends"])
 
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        texts = batch.column("text").cast(pa.binary())
-        starts, ends = batch.column("starts"), batch.column("ends")
-        for k in range(batch.num_rows):
-            words = (texts[k].as_py() or b"").split()
-            n_words.append(len(words))
-            if starts[k].is_valid:
-                for a, b in zip(reversed(starts[k].as_py()), reversed(ends[k].as_py())):
-                    del words[a:b]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), starts, ends, batch.column("rest")],
-            ["id", "n_words", "n_removed", "kept", "starts", "ends", "rest"],
-        )
+#: The words of a text; what lies between the removed intervals, in order.
+_WORDS = r"array_remove(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), '')"
+_KEPT = "if(starts is null, words, flatten(zip_with(concat(array(0), ends), concat(starts, array(size(words))), (a, b) -> slice(words, a + 1, b - a))))"
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rest: bool = False) -> DataFrame:
@@ -228,12 +218,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"),
         docs[text_col].cast("string").alias("text"),
-        (F.struct(*others) if others else F.lit(True)).alias("rest"),
+        *([F.struct(*others).alias("rest") if others else F.lit(None).alias("rest")] if rest else []),
     ).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = whole.join(spans, ["id", "tag"], "left").select("id", "text", "starts", "ends", "rest")
-    out = T.StructType.fromDDL("id long, n_words long, n_removed long, kept binary, starts array<int>, ends array<int>")
-    kept = joined.mapInArrow(_remove, out.add("rest", joined.schema["rest"].dataType))
-    return kept.select(
-        real_id(F.col("id")).alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "starts", "ends",
-        *(["rest"] if rest else []),
+    cut_up = whole.join(spans, ["id", "tag"], "left").withColumn("words", F.expr(_WORDS)).withColumn("kept", F.expr(_KEPT))
+    return cut_up.select(
+        real_id(F.col("id")).alias(id_col),
+        F.size("words").cast("long").alias("n_words"),
+        (F.size("words") - F.size("kept")).cast("long").alias("n_removed"),
+        F.array_join("kept", " ").alias("kept_text"),
+        "starts", "ends", *(["rest"] if rest else []),
     )
