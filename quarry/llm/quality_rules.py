@@ -1,12 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Fixed base rules drop short and repetitive texts. Four ratios are then held against cutoffs, a cutoff
-for each ratio and stratum. A cutoff is admitted if the labelled good documents show, by the exact binomial
-test, that it rejects at most risk / number of ratios of the good documents of its stratum: with k of n of
-them beyond the cutoff, P(Binomial(n, rate) <= k) must not exceed level / number of tests (Bonferroni over all
-strata, ratios and candidate cutoffs). With probability 1 - level no stratum loses more than `risk` of its good
-documents. Of the admitted cutoffs the one that rejects most labelled bad documents is used, the highest such;
-one that rejects none, or a stratum with too few labels, gives no cutoff: nothing is rejected on no evidence.
+Fixed base rules drop short and repetitive texts. Four ratios are then held against cutoffs of each stratum. What
+is controlled is the share of good documents that all cutoffs of a stratum together reject: with probability
+1 - level it is at most `risk` in every stratum.
+
+1. The labelled documents are holdouts, in two parts by a hash of the id. The choosing quarter orders the candidate
+   cutoffs of a stratum: fewest good documents lost, then the loosest. Candidates that catch no bad document
+   there, or lose more than `risk` of the good ones, are left out.
+2. The testing part goes along that order. A step adds a cutoff to those before it, so the rejected sets are nested
+   and their losses only grow. A step is admitted while the exact binomial bound holds: with k of n good documents
+   rejected, P(Binomial(n, risk) <= k) <= level / number of strata. The first step that fails ends the walk: testing
+   in a fixed order needs no correction for the number of candidates, strata are corrected for by Bonferroni.
+3. A stratum with too few good documents to pass even with k = 0 is pooled with the other such ones; the bound
+   holds for the pool then. A pool too small rejects nothing on no evidence.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ RISK, LEVEL = 0.03, 0.05
 #: Cutoffs are broadcast up to this size.
 BROADCAST_BYTES = 8 << 20
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
+#: One of so many labelled documents orders the cutoffs, the others test them.
+FOLDS = 4
 #: Candidate cutoffs of each ratio, as hundredths.
 RATIOS = {
     "symbols": "100.0D * n_symbols / word_chars",
@@ -87,37 +95,67 @@ def base_failed() -> "F.Column":
     return F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")
 
 
+def _choosing(id_col: str) -> "F.Column":
+    """Whether a labelled document orders the cutoffs."""
+    return F.expr(f"cast(conv(substr(md5(cast({id_col} as string)), 1, 8), 16, 10) as long) % {FOLDS} = 0")
+
+
+def _small(table: DataFrame, columns: int) -> DataFrame:
+    """table marked for broadcast if its size allows; it has a string stratum and so many numbers a row."""
+    rows, longest = table.agg(F.count("*"), F.coalesce(F.max(F.octet_length("stratum")), F.lit(0))).first()
+    return F.broadcast(table) if rows * (longest + 16 * columns) <= BROADCAST_BYTES else table
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(stratum, rule, cutoff) of the admitted cutoffs.
 
-    measured: stratum, base_failed and the ratios of each document; labels: id, quality. Counts only leave the
-    cluster's tasks summed by stratum, rule and candidate.
+    measured: id, stratum, base_failed and the ratios of each document; labels: id, quality. Only counts by stratum,
+    rule and candidate leave the cluster's tasks; the driver gets the number of strata.
     """
-    rate = risk / len(RATIOS)
+    held = measured.where("not base_failed").join(labels.where("quality is not null"), "id").select("stratum", "quality", _choosing("id").alias("choosing"), *RATIOS)
+    held = cut(held)
+    good = held.groupBy("stratum").agg(F.sum(F.expr("if(choosing, 0L, quality)")).alias("n"))
+    many = max(1, good.count())
+    # a stratum stands alone if no lost document of its n would admit a step
+    strata = cut(good.select("stratum", F.expr(f"if(n * ln(1D - {risk}D) <= ln({level}D / {many}), concat('=', stratum), '*')").alias("pool")))
+    held = held.join(_small(strata, 8), "stratum")
+
     candidates = ", ".join(f"struct('{r}' as rule, array({', '.join(f'{float(c)}D' for c in CUTOFFS[r])}) as cs, {r} as v)" for r in RATIOS)
-    held = measured.where("not base_failed").join(labels.where("quality is not null"), "id").select("stratum", "quality", *RATIOS)
     # how many cutoffs a value exceeds, first; then cumulative counts over at most eleven steps
     steps = (
-        held.selectExpr("stratum", "quality", f"explode(array({candidates})) c")
-        .selectExpr("stratum", "quality", "c.rule", "c.cs", "size(filter(c.cs, x -> c.v > x)) step")
-        .groupBy("stratum", "rule", "cs", "step")
+        held.where("choosing").selectExpr("pool", "quality", f"explode(array({candidates})) c")
+        .selectExpr("pool", "quality", "c.rule", "c.cs", "size(filter(c.cs, x -> c.v > x)) step")
+        .groupBy("pool", "rule", "cs", "step")
         .agg(F.sum("quality").alias("good"), F.sum(F.lit(1) - F.col("quality")).alias("bad"))
-    )
-    tests = (
-        steps.groupBy("stratum", "rule", "cs")
+    )
+    losses = (
+        steps.groupBy("pool", "rule", "cs")
         .agg(F.sum("good").alias("n"), F.collect_list(F.struct("step", "good", "bad")).alias("steps"))
-        .selectExpr("stratum", "rule", "n", "steps", "posexplode(cs) as (p, cutoff)")
+        .selectExpr("pool", "rule", "n", "steps", "posexplode(cs) as (p, cutoff)")
         .selectExpr(
-            "stratum", "rule", "n", "cutoff",
-            "aggregate(filter(steps, x -> x.step > p), 0L, (s, x) -> s + x.good) k",
-            "aggregate(filter(steps, x -> x.step > p), 0L, (s, x) -> s + x.bad) bad",
+            "pool", "rule", "n", "p", "cutoff",
+            "aggregate(filter(steps, x -> x.step > p), 0L, (s, x) -> s + x.good) lost",
+            "aggregate(filter(steps, x -> x.step > p), 0L, (s, x) -> s + x.bad) caught",
         )
+        .where(f"caught > 0 and lost <= {risk}D * n")
     )
-    many = tests.agg(F.count("*").alias("m"))
-    tail = f"""aggregate(sequence(0L, k), struct(n * ln(1D - {rate}D) as l, 0D as s),
-        (a, i) -> struct(a.l + ln(greatest(n - i, 1L) / (i + 1D)) + ln({rate}D / (1D - {rate}D)) as l, a.s + exp(a.l) as s), a -> a.s)"""
-    admitted = tests.crossJoin(F.broadcast(many)).where("n > 0 and bad > 0").where(f"{tail} <= {level}D / m")  # one row is joined
-    return admitted.groupBy("stratum", "rule").agg(F.max(F.struct("bad", "cutoff")).alias("best")).selectExpr("stratum", "rule", "best.cutoff cutoff")
+    # a pool's candidates in order: at most as many as there are cutoffs
+    walk = losses.groupBy("pool").agg(F.array_sort(F.collect_list(F.expr("struct(lost, -p as tier, -caught as caught, rule, cutoff)"))).alias("walk"))
+    value = "case " + " ".join(f"when c.rule = '{r}' then {r}" for r in RATIOS) + " end"
+    first = f"array_position(transform(walk, c -> {value} > c.cutoff), true)"
+    tested = held.where("not choosing and quality = 1").join(F.broadcast(walk) if many <= 1000 else walk, "pool").select("pool", F.expr(first).alias("step"))
+    counts = tested.groupBy("pool", "step").count().groupBy("pool").agg(F.sum("count").alias("n"), F.collect_list(F.struct("step", "count")).alias("steps"))
+    tail = f"""aggregate(sequence(0L, k), struct(n * ln(1D - {risk}D) as l, 0D as s),
+        (a, i) -> struct(a.l + ln(greatest(n - i, 1L) / (i + 1D)) + ln({risk}D / (1D - {risk}D)) as l, a.s + exp(a.l) as s), a -> a.s)"""
+    passed = (
+        counts.join(walk, "pool")
+        .selectExpr("pool", "n", "steps", "posexplode(walk) as (p, c)")
+        .selectExpr("pool", "n", "p", "c.rule", "c.cutoff", "aggregate(filter(steps, x -> x.step between 1 and p + 1), 0L, (s, x) -> s + x.count) k")
+        .withColumn("passed", F.expr(f"{tail} <= {level}D / {many}"))
+    )
+    ends = passed.groupBy("pool").agg(F.coalesce(F.min(F.expr("if(passed, null, p)")), F.lit(10**6)).alias("end"))
+    admitted = passed.join(ends, "pool").where("p < end").groupBy("pool", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return strata.join(admitted, "pool").select("stratum", "rule", "cutoff")
 
 
 def _ratios(d: DataFrame) -> DataFrame:
@@ -127,9 +165,7 @@ def _ratios(d: DataFrame) -> DataFrame:
 def _judged(d: DataFrame, found: DataFrame) -> DataFrame:
     """d with failed_rules and kept."""
     by_stratum = cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")))
-    few = by_stratum.agg(F.count("*"), F.coalesce(F.max(F.octet_length("stratum")), F.lit(0))).first()
-    if few[0] * (few[1] + 200) <= BROADCAST_BYTES:
-        by_stratum = F.broadcast(by_stratum)
+    by_stratum = _small(by_stratum, 16)
     failed = ", ".join(f"if({r} > cuts['{r}'], '{r}', null)" for r in RATIOS)
     return d.join(by_stratum, "stratum", "left").withColumns(
         {"failed_rules": F.expr(f"array_compact(array({failed}))"), "kept": F.expr(f"not base_failed and size(array_compact(array({failed}))) = 0")}
@@ -155,7 +191,7 @@ def quality_rules(
 
     Null or empty texts count 0 and fail. A null stratum is the stratum ''. labels has the id and quality,
     1 for good; null labels and labels of no document don't count, several labels of an id count each. A null id
-    has no label. Repeated rows give repeated rows; other columns are ignored; empty docs give none and
+    has no label; of the words' ratios one without a denominator is 0. Repeated rows give repeated rows; other columns are ignored; empty docs give none and
     empty labels leave the base rules alone.
     """
     own = docs.select(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
-from quarry.llm.quality_rules import CUTOFFS, LEVEL, RISK
+from quarry.llm.quality_rules import CUTOFFS, FOLDS, LEVEL, RISK
 
 
 def words(text: str | None) -> list[bytes]:
@@ -77,22 +78,30 @@ def ratios(b: dict) -> dict:
 
 
 def kept_by_rules(docs: list[tuple], labels: dict) -> list[bool]:
-    """The verdict on every row, with cutoffs admitted by the exact binomial sum."""
+    """The verdict on every row, with the walk over cutoffs ended by the exact binomial sum."""
     found = [(base(t), lang or "") for _, t, lang in docs]
-    held = [(s, labels[i], ratios(b)) for (i, *_), (b, s) in zip(docs, found) if labels.get(i) is not None and not b["base_failed"]]
+    held = [
+        (s, labels[i], ratios(b), int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % FOLDS == 0)
+        for (i, *_), (b, s) in zip(docs, found)
+        if i is not None and labels.get(i) is not None and not b["base_failed"]
+    ]
     strata = {s for s, *_ in held}
-    tests, rate = len(strata) * sum(len(c) for c in CUTOFFS.values()), RISK / len(CUTOFFS)
-    best: dict = {}
-    for s in strata:
-        own = [(y, r) for x, y, r in held if x == s]
-        n = sum(y for y, _ in own)
-        for rule, cuts in CUTOFFS.items():
-            for c in cuts:
-                good, bad = (sum(1 for y, r in own if y == v and r[rule] > c) for v in (1, 0))
-                tail = sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(good + 1))
-                if n and bad and tail <= LEVEL / tests:
-                    best[s, rule] = max(best.get((s, rule), (0, 0)), (bad, c))
-    return [not b["base_failed"] and all(v <= best.get((s, rule), (0, math.inf))[1] for rule, v in ratios(b).items()) for b, s in found]
+    n = Counter(s for s, y, _, choosing in held if y and not choosing)
+    pool = {s: s if (1 - RISK) ** n[s] <= LEVEL / len(strata) else None for s in strata}
+    cuts: dict = {}
+    for p in set(pool.values()):
+        own = [(y, r, choosing) for s, y, r, choosing in held if pool[s] == p]
+        count = lambda chosen, want, rule, c: sum(1 for y, r, x in own if x == chosen and y == want and r[rule] > c)
+        chosen = sum(1 for y, _, x in own if y and x)
+        walk = sorted((count(True, 1, rule, c), -k, -count(True, 0, rule, c), rule, c) for rule, cs in CUTOFFS.items() for k, c in enumerate(cs))
+        walk = [w for w in walk if w[2] < 0 and w[0] <= RISK * chosen]
+        tests = [r for y, r, x in own if y and not x]
+        for t in range(len(walk)):
+            k = sum(any(r[w[3]] > w[4] for w in walk[: t + 1]) for r in tests)
+            if sum(math.comb(len(tests), i) * RISK**i * (1 - RISK) ** (len(tests) - i) for i in range(k + 1)) > LEVEL / len(strata):
+                break
+            cuts[p, walk[t][3]] = min(cuts.get((p, walk[t][3]), math.inf), walk[t][4])
+    return [not b["base_failed"] and all(s not in pool or v <= cuts.get((pool[s], rule), math.inf) for rule, v in ratios(b).items()) for b, s in found]
 
 
 def covered(item: str | None, text: str | None) -> tuple[int, int]:
