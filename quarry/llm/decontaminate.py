@@ -150,7 +150,13 @@ def contaminated(
     The benchmark is broadcast if its text has at most broadcast_bytes; else it goes through in so many blocks,
     dealt by a hash of the item.
     """
-    spark = docs.sparkSession
+    found = _found(documents(docs, id_col, text_col), benchmark, item_col, shortest, coverage, broadcast_bytes)
+    return found.withColumns({"id": real_id(F.col("id")), "item": real_id(F.col("item"))}).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def _found(own: DataFrame, benchmark: DataFrame, item_col: str = "item_id", shortest: int = SHORTEST, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows _OUT for (id, text)."""
+    spark = own.sparkSession
     items = documents(benchmark, item_col, "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // broadcast_bytes) if size > broadcast_bytes else 1)
@@ -159,15 +165,20 @@ def contaminated(
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         rows = sorted((r["id"], r["text"]) for r in part.collect())
         shared = spark.sparkContext.broadcast(Benchmark(rows, shortest))
-        found = documents(docs, id_col, text_col).mapInArrow(_search(shared, coverage), _OUT)
+        found = own.mapInArrow(_search(shared, coverage), _OUT)
         out = found if out is None else out.union(found)
-    return out.withColumns({"id": real_id(F.col("id")), "item": real_id(F.col("item"))}).withColumnsRenamed({"id": id_col, "item": item_col})
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that contaminated() doesn't report; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__bad")).where("__bad is not null").distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    """The rows of docs, all columns, whose own text contaminated() doesn't report.
+
+    A row goes for its text alone, known by its 64-bit hash: neither another row of its id nor a null id decides.
+    """
+    text = docs[text_col].cast("string")
+    found = _found(docs.select(F.xxhash64(text).alias("id"), text.alias("text")), benchmark, **options)
+    bad = found.select(F.col("id").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(text) == bad["__bad"], "left_anti")
 
 
 __all__ = ["NULL_ID", "Benchmark", "contaminated", "decontaminate", "tiles"]
