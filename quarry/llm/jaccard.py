@@ -33,7 +33,9 @@ from quarry.llm._spark import NULL_ID, components, cut, documents, partitions, r
 
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Shingles that a task holds before it sends them.
-HELD = 1_500_000
+HELD = 1_000_000
+#: Bytes of a batch of answers, unless one document has more.
+BATCH_BYTES = 16 << 20
 _BASE = 0xE7037ED1A0B428DB
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, lengths binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -123,6 +125,11 @@ def _cells(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[k].as_py() for name in _NAMES}
 
 
+def _order(length: np.ndarray) -> np.ndarray:
+    """Lengths as two bytes that keep their order: exact up to 256, then within a hundredth, without an upper end."""
+    return (length.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16)
+
+
 def _lists(parts: int):
     """The inverted lists of a partition: what they say about each document with a shingle in common."""
 
@@ -144,7 +151,7 @@ def _lists(parts: int):
             _, many = _runs(h)
             length = np.repeat(many, many)
             shared = length > 1
-            h, doc, length = h[shared], doc[shared], np.minimum(length[shared], 65535).astype(np.uint16)
+            h, doc, length = h[shared], doc[shared], _order(length[shared])
             for part, (d, hs, n) in tx.dealt(_part(ids, parts)[doc], [doc, h, length]):
                 o = np.argsort(d, kind="stable")
                 at, c = _runs(d[o])
@@ -197,10 +204,14 @@ def _sift(num: int, den: int):
                     shared[d], short[d] = new.tobytes(), own[: k - least + 1].tobytes()
                     odd = np.bincount((new & tx.U(255)).astype(np.int64), minlength=256) & 1
                     bits[d] = np.packbits(odd.astype(np.uint8)).tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(tags), pa.array(n), pa.array(lead), *(pa.array(x, pa.binary()) for x in (shared, short, bits))],
-            ["id", "tag", "n", "lead", "shared", "short", "bits"],
-        )
+        size, lo = np.cumsum([40 + len(x or b"") + len(y or b"") for x, y in zip(shared, short)]), 0
+        while lo < len(ids):  # batches of a bounded number of bytes, a document each at least
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x[lo:hi]) for x in (ids, tags, n, lead)), *(pa.array(x[lo:hi], pa.binary()) for x in (shared, short, bits))],
+                ["id", "tag", "n", "lead", "shared", "short", "bits"],
+            )
+            lo = hi
 
     return run
 
@@ -262,6 +273,28 @@ def ngram_jaccard_join(
     return out.select(real_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real_id(F.col("component")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, with one document of each component: the one with the smallest id.
+
+    Rows of one id with unlike texts are documents of their own, so no text is lost for its id. Of equal rows (id and
+    text) one stays. Null ids count as larger than all others. Rows without words are linked with nothing and all stay.
+    """
+    own = documents(docs, id_col, text_col)
+    if own.groupBy("id").count().where((F.col("count") > 1) | (F.col("id") == NULL_ID)).isEmpty():
+        first = _joined(own, shingle, similarity).where("id = component").select(F.col("id").alias("__first"))
+        return docs.join(first, docs[id_col].cast("long") == first["__first"], "left_semi")
+    own = own.withColumn("node", F.xxhash64("id", "text"))
+    nodes = cut(_joined(own.selectExpr("node id", "text"), shingle, similarity).dropDuplicates(["id"]).withColumnRenamed("id", "node"))
+    least = own.select("id", "node").distinct().join(nodes, "node").groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"), F.max("n").alias("n"))
+    first = cut(least.selectExpr("least.node __first", "n __n"))
+    key = F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)), docs[text_col].cast("string"))
+    kept = docs.withColumn("__node", key).join(first, F.col("__node") == F.col("__first"))
+    again = cut(kept.where("__n > 0").groupBy("__node").count().where("count > 1").select(F.col("__node").alias("__again")))
+    alone = kept.join(again, F.col("__node") == F.col("__again"), "left_anti").select(*docs.columns)
+    row = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.xxhash64(*(F.col(c) for c in docs.columns))).alias("row")
+    return alone.union(kept.join(again, F.col("__node") == F.col("__again")).groupBy("__node").agg(row).select("row.*"))
+
+
 def _joined(own: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """(id, n, component) for (id, text); rows with one id are one node."""
     num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
@@ -328,4 +361,4 @@ def _joined(own: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     return out.select("id", "n", F.coalesce("joined", "c").alias("component"))
 
 
-__all__ = ["NULL_ID", "ngram_jaccard_join", "shingle_sets"]
+__all__ = ["NULL_ID", "ngram_jaccard_join", "one_of_each_group", "shingle_sets"]

@@ -1,6 +1,5 @@
 """Each operator on small tables against brute force, with nulls, empty and repeated rows and extra columns."""
 
-import hashlib
 import itertools
 import json
 import random
@@ -14,7 +13,7 @@ from quarry.llm.chat import format_chat
 from quarry.llm.decontaminate import contaminated, tiles
 from quarry.llm.html_extract import extract_main_text, main_texts
 from quarry.llm.jaccard import ngram_jaccard_join
-from quarry.llm.packing import _complement, best_fit_packing, pack_lengths
+from quarry.llm.packing import Tokens, _complement, best_fit_packing, pack_lengths
 from quarry.llm.quality_model import quality
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.shard import kd_shards
@@ -131,11 +130,29 @@ def test_packing(docs, empty):
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows()}
     for r in got.itertuples():
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    pieces = [(i, k, at, min(4096, len(ids[i]) - at)) for i, _ in rows() for k, at in enumerate(range(0, len(ids[i]), 4096))]
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length)) == Counter(pieces)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 4096
     assert best_fit_packing(empty, path).count() == 0
 
 
+def test_ids_are_the_tokenizers_own():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    marks = ["'s", "'", "''s", "<|endoftext|>", "<|", "a|b", "|", "É", "ß", "İ", "ﬁ", "e\u0301", "×", "÷", "日本", "\u00a0", "\u2003", "\x01", "don't", "I'LL", "12", "x9y", "--", "Ångström,", "\ufffd", "🙂", "Ĳ", "ſ", "\x1c"]
+    texts = ["".join(rng.choice([*marks, " ", " ", "\n", "The ", "Word.", "naïve "]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += [t for _, t in rows() if t is not None]
+    data = [t.encode() for t in texts]
+    flat, many = Tokens(path).encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for t, own in zip(texts, np.split(flat, np.cumsum(many)[:-1])):
+        assert own.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_uses_complements():
     assert sum(n for _, n in pack_lengths({6: 2, 4: 1, 3: 1, 1: 1, 10: 1}, 10)) == 3
 
@@ -233,5 +250,3 @@ def test_classifiers(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in toxicity(docs, none).collect()) and toxicity(empty, none).count() == 0
 
 
-def test_digest_of_kept_words():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

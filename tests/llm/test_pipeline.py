@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from quarry.llm.decontaminate import decontaminate
 from tests.llm import brute
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -81,16 +82,26 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
 
 
-def test_rows_of_one_id_leave_one_row_whatever_their_order(spark):
+def test_unlike_texts_of_one_id_all_stay(spark):
     data = [(1, "b c d e f", "en", "s", 1, "x", "y", True, 0), (1, "a c d e f", "en", "s", 1, "x", "y", True, 0), (1, None, "en", "s", 1, "x", "y", True, 0)]
     for order in (data, data[::-1]):
-        got = corpus_pipeline.keep_one_of_group(spark, spark.createDataFrame(order, SCHEMA).repartition(1), "").collect()
-        assert [r.text for r in got] == ["a c d e f"]
+        got = corpus_pipeline.keep_one_of_group(spark, spark.createDataFrame([*order, order[0]], SCHEMA).repartition(1), "").collect()
+        assert sorted(str(r.text) for r in got if r.text) == ["a c d e f", "b c d e f"]
+        assert sum(r.text is None for r in got) == 1 + (order[0][1] is None)
 
 
-def test_no_document_goes_for_a_row_that_goes_too(spark):
+def test_one_document_of_each_group_stays(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
-    data = [(1, a), (1, b), (2, b + " end"), (3, c), (4, d), (None, c + " end"), (None, d + " end"), (5, d)]
+    data = [(1, a), (1, b), (2, b + " end"), (3, c), (4, d), (None, c + " end"), (None, d + " end"), (5, d), (None, "alone in the world of texts")]
     t = spark.createDataFrame([(i, x, "en", "s", 1, "x", "y", True, 0) for i, x in data], SCHEMA)
     got = corpus_pipeline.keep_one_of_group(spark, t, "").collect()
-    assert {(r.doc_id, r.text) for r in got} == set(data) - {(1, b), (5, d)} and len(got) == 6
+    assert sorted((r.doc_id or 99, r.text) for r in got) == sorted([(1, a), (1, b), (3, c), (4, d), (99, data[-1][1])])
+
+
+def test_a_row_goes_for_its_own_text(spark):
+    q = ITEMS[0][1]
+    data = [(1, "clean words " * 3), (1, q), (None, "x " + q), (None, "clean too"), (2, None)]
+    t = spark.createDataFrame([(i, x, "en", "s", 1, "x", "y", True, 0) for i, x in data], SCHEMA)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {(r.doc_id, r.text) for r in decontaminate(t, bench).collect()}
+    assert got == {data[0], data[3], data[4]}
