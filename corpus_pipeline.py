@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._spark import cut
 from quarry.llm.decontaminate import decontaminate
-from quarry.llm.jaccard import ngram_jaccard_join
+from quarry.llm.jaccard import one_of_each_group
 from quarry.llm.packing import best_fit_packing
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.queries import table, tokenizer_path
@@ -24,19 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies; rows without an id stay.
-
-    Of several rows of an id only the one whose text is smallest (null texts come last) counts and can stay, so
-    no document is dropped for a row that is dropped itself.
-    """
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():
-        row = F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.struct(docs["text"].isNull(), docs["text"])).alias("row")
-        one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
-        docs = cut(one.union(docs.join(again, "doc_id", "left_anti").select(*docs.columns)))
-    first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """One document of each component of near copies, the one with the smallest id."""
+    return one_of_each_group(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
