@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quarry.plans.parser import Lit, Num, Op, Ref
 
-DEC = "decimal(28,10)"
+#: Numbers that are no integers: 28 digits before the point and 10 behind it.
+DEC = "decimal(38,10)"
 LIKE_CELLS = 10_000_000
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -30,6 +31,7 @@ class Val:
     present: Column | None = None
     tag: Column | None = None
     native: Column | None = None  # a scan's own numeric column, to compare without a cast
+    whole: bool = False  # native is of an integral type
 
 
 def fail(text: str) -> Column:
@@ -39,8 +41,8 @@ def fail(text: str) -> Column:
 def to_number(text: Column) -> Column:
     """The decimal that a text spells, else null; more than 28 digits are an error."""
     ok = text.rlike(_NUMBER)
-    many = F.length(F.regexp_replace(F.regexp_replace(text, r"[eE].*$", ""), r"[^0-9]", "")) > 28
-    return F.when(ok & many, fail("value: more than 28 digits").cast(DEC)).when(ok, text.try_cast(DEC))
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, r"[eE].*$", ""), r"[^0-9]", ""))
+    return F.when(~ok, F.lit(None).cast(DEC)).when((F.length(text) > 28) & (digits > 28), fail("value: more than 28 digits").cast(DEC)).otherwise(text.try_cast(DEC))
 
 
 def display(number: Column) -> Column:
@@ -160,22 +162,46 @@ def pattern_regex(pattern: Column, escape: str | None) -> Column:
     return F.aggregate(chars, pair(F.lit("(?s)^"), F.lit(False)), step, last)
 
 
+def _exact(x: Column, y: Column, run, *kinds: str) -> Column:
+    """run over both sides in the first of the kinds that holds the two values unchanged; else as they are.
+
+    Decimals of 38 digits leave an operation few digits behind the point, those of fewer digits enough."""
+    out = F.lit(None).cast(DEC)
+    for kind in reversed(kinds):
+        a, b = x.try_cast(kind), y.try_cast(kind)
+        out = F.when((a == x) & (b == y), run(a, b)).otherwise(out)
+    return out
+
+
+def _integral(v: Val) -> Column:
+    """A whole number of 64 bits; anything else is an error."""
+    if v.whole:
+        return v.native.cast("long")
+    n = number_of(v, strict=True)
+    whole = F.when(F.floor(n) == n, n.try_cast("long"))
+    return F.when(n.isNotNull() & whole.isNull(), fail("value: % needs integers").cast("long")).otherwise(whole)
+
+
 def arithmetic(op: str, a: Val, b: Val) -> Val:
-    whole = all(v.kind == "num" and v.native is not None for v in (a, b))
-    if whole and op in "+-*":  # integers: 64 bits while they fit, else decimal
+    if op == "%":
+        x, y = _integral(a), _integral(b)
+        rest = F.when(y == 0, fail("value: division by zero").cast("long")).otherwise(x % F.nullif(y, F.lit(0).cast("long")))
+        return Val("num", rest, native=rest, whole=True)
+    if a.whole and b.whole and op in "+-*":  # 64 bits while they fit, else decimal
         fn = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
         x, y = a.native.cast("long"), b.native.cast("long")
-        wide = {"+": a.native.cast("decimal(28,0)") + b.native.cast("decimal(28,0)"), "-": a.native.cast("decimal(28,0)") - b.native.cast("decimal(28,0)")}
-        big = wide[op] if op in wide else a.native.cast("decimal(19,0)") * b.native.cast("decimal(19,0)")
+        wide, tall = ((v.native.cast("decimal(28,0)"), v.native.cast("decimal(19,0)")) for v in (a, b))
+        big = wide[0] + tall[0] if op == "+" else wide[0] - tall[0] if op == "-" else wide[1] * tall[1]
         return Val("num", F.coalesce(fn(x, y).cast("decimal(38,0)"), big.cast("decimal(38,0)")))
     x, y = number_of(a, strict=True), number_of(b, strict=True)
-    if op == "/":
-        return Val("num", F.when(y == 0, fail("value: division by zero").cast(DEC)).otherwise(F.bround(x / F.nullif(y, F.lit(0).cast(DEC)), 10).cast(DEC)))
-    if op == "%":
-        odd = (F.bround(x, 0) != x) | (F.bround(y, 0) != y)
-        return Val("num", F.when(odd, fail("value: % needs integers").cast(DEC)).when(y == 0, fail("value: division by zero").cast(DEC)).otherwise((x % F.nullif(y, F.lit(0).cast(DEC))).cast(DEC)))
-    out = {"+": x + y, "-": x - y, "*": x * y}[op]
-    return Val("num", out.cast(DEC))
+    if op in "+-":
+        x, y = x.cast("decimal(37,10)"), y.cast("decimal(37,10)")
+        return Val("num", (x + y if op == "+" else x - y).cast(DEC))
+    if op == "*":
+        out = _exact(x, y, lambda p, q: (p * q).cast(DEC), "decimal(18,9)", "decimal(19,0)", "decimal(28,10)", DEC)
+        return Val("num", out)
+    out = _exact(x, y, lambda p, q: F.bround(p / F.nullif(q, F.lit(0)), 10).cast(DEC), "decimal(19,0)", "decimal(18,9)", "decimal(28,10)", DEC)
+    return Val("num", F.when(y == 0, fail("value: division by zero").cast(DEC)).otherwise(out))
 
 
 class Compiler:
@@ -193,7 +219,7 @@ class Compiler:
             return Val("bool", F.lit(e.value)) if isinstance(e.value, bool) else Val("str", F.lit(e.value))
         if isinstance(e, Num):
             if e.text.isdigit() and int(e.text) < 2**63:
-                return Val("num", F.lit(int(e.text)).cast("long"), native=F.lit(int(e.text)))
+                return Val("num", F.lit(int(e.text)).cast("long"), native=F.lit(int(e.text)), whole=True)
             if sum(c.isdigit() for c in re.sub(r"[eE].*", "", e.text)) > 28:
                 raise ValueError("value: more than 28 digits")
             return Val("num", F.lit(e.text).cast(DEC))
@@ -201,8 +227,8 @@ class Compiler:
             return arithmetic(e.op, self.value(e.args[0]), self.value(e.args[1]))
         if e.op in ("neg", "pos"):
             v = self.value(e.args[0])
-            if e.op == "neg" and v.native is not None:
-                return Val("num", -v.native.cast("decimal(20,0)"), native=None)
+            if v.whole:
+                return Val("num", -v.native.cast("decimal(20,0)")) if e.op == "neg" else v
             n = number_of(v, strict=True)
             return Val("num", -n if e.op == "neg" else n)
         if e.op == "nested":

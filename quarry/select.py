@@ -48,6 +48,8 @@ class Result:
     values: list[Val]
     star: str | None = None  # "cells" or "entries"
     head: list[str] | None = None  # names of the cells
+    lines: DataFrame | None = None  # of SELECT *, the rows with their JSON as line
+    unnamed: str | None = None  # the first item that is no plain reference and has no alias
 
     def frame(self) -> DataFrame:
         """Typed columns; numbers as decimals or the scan's own type, JSON values as text."""
@@ -65,7 +67,9 @@ class Result:
             return quoted if o.always else F.when(c.rlike(special), quoted).otherwise(c)
 
         if self.star == "cells":
-            line = F.array_join(F.transform("cells", cell), o.field)
+            plain = F.array_join("cells", o.field)
+            cells = F.transform("cells", cell)
+            line = F.array_join(cells, o.field) if o.always else F.when(F.array_join("cells", "").rlike(special), F.array_join(cells, o.field)).otherwise(plain)
         elif self.star == "entries":
             line = F.array_join(F.transform("entries", lambda e: cell(F.coalesce(e["text"], F.lit("")))), o.field)
         else:
@@ -82,8 +86,9 @@ class Result:
             pairs = F.transform("cells", lambda c, k: F.concat(_quoted(key(k)), F.lit(":"), _quoted(c)))
             return self._capped(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
         if self.star == "entries":
-            pairs = F.transform("entries", lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _tagged(e["tag"], e["text"])))
-            return self._capped(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+            return self._capped(F.col("line"), self.lines)
+        if self.unnamed is not None:
+            raise ValueError(f"alias: {self.unnamed} needs one, to be a JSON key")
         pairs = []
         for k, v in zip(self.keys, self.values):
             body = _tagged(v.tag, v.col) if v.kind == "dyn" else F.coalesce(_quoted(v.col) if v.kind == "str" else text(v), F.lit("null"))
@@ -91,13 +96,13 @@ class Result:
             pairs.append(pair if v.present is None else F.when(v.present, pair))
         return self._capped(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")))
 
-    def _capped(self, line: Column) -> DataFrame:
-        return self.rows.select(F.when(F.octet_length(line) > MAX_ROW, fail("too large: a row of more than 1 MiB").cast("string")).otherwise(line).alias("value"))
+    def _capped(self, line: Column, rows: DataFrame | None = None) -> DataFrame:
+        return (self.rows if rows is None else rows).select(F.when(F.octet_length(line) > MAX_ROW, fail("too large: a row of more than 1 MiB").cast("string")).otherwise(line).alias("value"))
 
 
 def text(v: Val) -> Column:
     if v.kind == "num":
-        return v.native.cast("string") if v.native is not None else display(v.col)
+        return v.native.cast("string") if v.whole else display(v.col)
     if v.kind == "json":
         return F.to_json(v.col, {"ignoreNullFields": "false"})
     return v.col.cast("string")
@@ -118,7 +123,7 @@ def _native(name: str, kind: T.DataType) -> Val:
     if isinstance(kind, T.BooleanType):
         return Val("bool", c)
     if isinstance(kind, T.IntegralType):
-        return Val("num", c.cast("long"), native=c)
+        return Val("num", c.cast("long"), native=c, whole=True)
     if isinstance(kind, T.DecimalType):
         if kind.precision > 28:
             raise ValueError("format: a decimal of more than 28 digits")
@@ -182,7 +187,11 @@ def run(source: DataFrame, names: list[str] | None, plan: Plan, resolve, star: s
     for e, alias, written in plan.projections:
         keys.append(alias or (e.name if isinstance(e, Ref) else written))
         values.append(compiler.value(e))
-    return Result(rows, keys, values)
+    return Result(rows, keys, values, unnamed=_unnamed(plan))
+
+
+def _unnamed(plan: Plan) -> str | None:
+    return next((written for e, alias, written in plan.projections if not alias and not isinstance(e, Ref)), None)
 
 
 def _aggregated(rows: DataFrame, plan: Plan, compiler: Compiler) -> Result:
@@ -197,7 +206,7 @@ def _aggregated(rows: DataFrame, plan: Plan, compiler: Compiler) -> Result:
         if e.fn == "count":
             out.append(F.count(F.when(~is_null(v), 1)).alias(f"a{k}"))
         elif e.fn == "sum":
-            out.append(F.sum(number_of(v, strict=True)).alias(f"a{k}"))
+            out.append(F.sum(v.native.cast("decimal(19,0)") if v.whole else number_of(v, strict=True)).alias(f"a{k}"))
         elif e.fn == "avg":
             n = number_of(v, strict=True)
             out.append(F.bround(F.sum(n) / F.nullif(F.count(n), F.lit(0)), 10).alias(f"a{k}"))
@@ -221,7 +230,7 @@ def _aggregated(rows: DataFrame, plan: Plan, compiler: Compiler) -> Result:
             out.append(F.when(numeric, number).otherwise(fn(F.when(here, body))).alias(f"a{k}"))
     result = rows.agg(*out)
     kinds = [result.schema[f"a{k}"].dataType for k in range(len(out))]
-    return Result(result, keys, [Val("str", F.col(f"a{k}")) if isinstance(t, T.StringType) else _native(f"a{k}", t) if not isinstance(t, T.DecimalType) else Val("num", F.col(f"a{k}")) for k, t in enumerate(kinds)])
+    return Result(result, keys, [Val("str", F.col(f"a{k}")) if isinstance(t, T.StringType) else _native(f"a{k}", t) if not isinstance(t, T.DecimalType) else Val("num", F.col(f"a{k}")) for k, t in enumerate(kinds)], unnamed=_unnamed(plan))
 
 
 def select_frame(df: DataFrame, sql: str) -> Result:
@@ -253,7 +262,7 @@ def select_frame(df: DataFrame, sql: str) -> Result:
             else:
                 return _missing()
             inner = _native("x", t)
-            v = Val(inner.kind, c, native=c if inner.native is not None else None, present=present)
+            v = Val(inner.kind, c, native=c if inner.native is not None else None, present=present, whole=inner.whole)
         return v
 
     return run(df, names, plan, resolve, None)
@@ -290,43 +299,27 @@ def select(spark: SparkSession, path: str, sql: str, source: Input | None = None
         return result
     refs = list(dict.fromkeys(r.steps for e in [*(p[0] for p in plan.projections), plan.where] if e is not None for r in references(e)))
     star = not plan.projections
-    if source.kind == "JSON_LINES":
-        lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-        if source.compression not in (None, "", "NONE") or source.scan:
-            unpack, scan = inflate(source.compression), source.scan
-            whole = spark.read.format("binaryFile").load(path).select("content")
-            lines = whole.mapInArrow(_lines(unpack, scan), "value string, at long")
-        rows = lines.mapInArrow(json_rows.lines_reader(plan.path, refs, plan.alias, star), json_rows.schema(len(refs)))
-    elif source.kind == "JSON_DOCUMENT":
-        if source.scan:
-            raise ValueError("a document takes no scan range here")
+    plain = source.compression in (None, "", "NONE")
+    if source.kind == "JSON_LINES" and plain and not source.scan:
+        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    elif source.kind in ("JSON_LINES", "JSON_DOCUMENT"):
+        # one task finds where the records begin; they are parsed by many
+        unpack = inflate(source.compression)
+        split = json_rows.line_splitter(unpack, source.scan) if source.kind == "JSON_LINES" else json_rows.element_splitter(unpack, source.scan)
         whole = spark.read.format("binaryFile").load(path).select("content")
-        rows = whole.mapInArrow(json_rows.document_reader(plan.path, refs, plan.alias, star, inflate(source.compression)), json_rows.schema(len(refs)))
+        lines = whole.mapInArrow(split, "value string, at long").repartition(spark.sparkContext.defaultParallelism)
     else:
         raise ValueError(f"unknown input {source.kind}")
+    made = lambda what: lines.mapInArrow(json_rows.reader(plan.path, refs, plan.alias, what, source.kind == "JSON_LINES"), json_rows.schema(len(refs)))
 
     def value(ref: Ref) -> Val:
         v = F.col("refs")[refs.index(ref.steps)]
         return Val("dyn", v["text"], present=v["present"], tag=v["tag"])
 
-    return run(rows, None, plan, value, "entries")
-
-
-def _lines(unpack, scan):
-    import pyarrow as pa
-
-    def go(batches):
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                out, at = [], 0
-                for line in unpack(content).splitlines(keepends=True):
-                    if not scan or (at >= scan[0] and (scan[1] is None or at <= scan[1])):
-                        out.append((line.rstrip(b"\r\n").decode(), at))
-                    at += len(line)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out], pa.int64())], ["value", "at"])
-
-    return go
+    result = run(made("entries" if star else None), None, plan, value, "entries")
+    if star:  # whole rows as JSON are written where they are parsed
+        result.lines = run(made("line"), None, plan, value, "line").rows
+    return result
 
 
 __all__ = ["Agg", "CsvOutput", "Input", "Result", "select", "select_frame"]

@@ -1,14 +1,15 @@
 """CSV records as arrays of cells: ragged rows, comments and quoted record delimiters.
 
-Records of one line are split by the JVM in parallel. Where a quoted cell may hold a record delimiter, or a scan
-range needs record offsets, an object is read whole by one task.
+Records of one line are split by the JVM in parallel. Where some line has a quote left open (or an escape that is
+no quote), a scan range needs record offsets, or the object is compressed, one task reads the object whole; lines
+without a quote are cut at once there, too.
 """
 
 from __future__ import annotations
 
 import bz2
 import gzip
-
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,10 +54,24 @@ def records(data: bytes, f: CsvFormat) -> Iterator[tuple[int, list[str]]]:
             at = n if end < 0 else end + len(f.record)
             byte += at - start if ascii_only else len(text[start:at].encode())
             continue
+        end = text.find(f.record, at)
+        end = n if end < 0 else end
+        if text.find(quote, at, end) < 0:  # nothing quoted
+            cells, at = text[at:end].split(f.field), end
+            yield from _record(cells, start, min(n, at + len(f.record)), byte, f)
+            at = min(n, at + len(f.record))
+            byte += at - start if ascii_only else len(text[start:at].encode())
+            continue
         cells, cell, quoted = [], [], False
         while at < n:
             c = text[at]
             if quoted:
+                if escape == quote and c != quote:  # all up to the next quote
+                    end = text.find(quote, at)
+                    end = n if end < 0 else end
+                    cell.append(text[at:end])
+                    at = end
+                    continue
                 if c == escape and at + 1 < n and (text[at + 1] == quote or (escape != quote and text[at + 1] == escape)):
                     cell.append(text[at + 1])
                     at += 2
@@ -77,19 +92,31 @@ def records(data: bytes, f: CsvFormat) -> Iterator[tuple[int, list[str]]]:
                 cell.append(c)
                 at += 1
         cells.append("".join(cell))
-        if f.record == "\n" and cells[-1].endswith("\r"):
-            cells[-1] = cells[-1][:-1]
         at = min(n, at + len(f.record))
-        if cells != [""]:
-            if at - start > MAX_RECORD:
-                raise ValueError("too large: a record of more than 1 MiB")
-            yield byte, cells
+        yield from _record(cells, start, at, byte, f)
         byte += at - start if ascii_only else len(text[start:at].encode())
 
 
+def _record(cells: list[str], start: int, end: int, byte: int, f: CsvFormat) -> Iterator[tuple[int, list[str]]]:
+    if f.record == "\n" and cells[-1].endswith("\r"):
+        cells[-1] = cells[-1][:-1]
+    if cells != [""]:
+        if end - start > MAX_RECORD // 4 and sum(len(c.encode()) + 1 for c in cells) > MAX_RECORD:
+            raise ValueError("too large: a record of more than 1 MiB")
+        yield byte, cells
+
+
+def _one_line_each(spark: SparkSession, path: str, f: CsvFormat) -> bool:
+    """Whether each line with a quote is whole cells, plain or quoted, and no other escape is in use."""
+    value, q, d = F.col("value"), re.escape(f.quote), re.escape(f.field)
+    cell = f"(?:[^{q}{d}]*+|{q}(?:[^{q}]++|{q}{q})*+{q})"
+    odd = ~value.rlike(f"^{cell}(?:{d}{cell})*+\r?$") if f.escape == f.quote else F.lit(True)
+    return spark.read.text(path, lineSep=f.record).where(value.contains(f.quote) & odd).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, f: CsvFormat, compression: str | None = None, scan: tuple[int, int | None] | None = None) -> tuple[DataFrame, list[str] | None]:
     """(rows (record_start, seq, cells), header names or None)."""
-    if f.multiline or scan or compression not in (None, "", "NONE"):
+    if scan or compression not in (None, "", "NONE") or (f.multiline and not _one_line_each(spark, path, f)):
         unpack = inflate(compression)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +142,23 @@ def read_csv(spark: SparkSession, path: str, f: CsvFormat, compression: str | No
         rows = whole.select("content").mapInArrow(run, "record_start long, seq long, cells array<string>")
         head = None
         if f.header == "USE":
-            first = next(records(unpack(whole.select("content").first()[0]), f), (0, []))
-            head = first[1]
+
+            def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for content in batch.column("content").to_pylist():
+                        yield pack([next(records(unpack(content), f), (0, []))])
+
+            # the cells of the first record alone reach the driver
+            found = whole.select("content").mapInArrow(first, "record_start long, seq long, cells array<string>").first()
+            head = found["cells"] if found else []
         return rows, head
     # a record is a line: split after each delimiter that an even number of quotes follows
     lines = spark.read.text(path, lineSep=f.record).withColumn("record_start", F.monotonically_increasing_id()).where("value <> ''")
     if f.comments:
         lines = lines.where(~F.col("value").startswith(f.comments))
+    if f.record == "\n":
+        lines = lines.withColumn("value", F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")))
+    lines = lines.withColumn("value", F.when(F.octet_length("value") > MAX_RECORD, F.raise_error(F.lit("too large: a record of more than 1 MiB")).cast("string")).otherwise(F.col("value")))
     q, d = ("\\" + f.quote), ("\\" + f.field)
     plain = F.split("value", d, -1)
     cells = F.split("value", f"{d}(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)", -1)
@@ -129,26 +166,8 @@ def read_csv(spark: SparkSession, path: str, f: CsvFormat, compression: str | No
     rows = lines.select("record_start", F.lit(0).cast("long").alias("seq"), F.when(F.col("value").contains(f.quote), strip).otherwise(plain).alias("cells"))
     if f.header == "NONE":
         return rows, None
-    first = rows.orderBy("record_start").first()
+    first = rows.first()  # of the object's first split, which alone is read
     return (rows.where(F.col("record_start") != first["record_start"]) if first else rows), (list(first["cells"]) if first and f.header == "USE" else None)
 
 
-def scan_range(start: int | None, end: int | None, size: int) -> tuple[int, int | None]:
-    """Both bounds inclusive; only an end means so many last bytes."""
-    if start is None and end is None:
-        raise ValueError("a scan range needs a bound")
-    for x in (start, end):
-        if x is not None and x < 0:
-            raise ValueError("a scan range has no negative bounds")
-    if start is None:
-        if end == 0:
-            raise ValueError("a suffix of no bytes")
-        return max(0, size - end), None
-    if start >= size and size:
-        raise ValueError("the scan range starts after the object")
-    if end is not None and end < start:
-        raise ValueError("the scan range ends before it starts")
-    return start, end
-
-
-__all__ = ["CsvFormat", "inflate", "read_csv", "records", "scan_range"]
+__all__ = ["CsvFormat", "inflate", "read_csv", "records"]

@@ -2,7 +2,8 @@
 
 A Python reader walks the FROM path and emits only what the statement refers to: for each reference a struct
 (present, tag, text), and for SELECT * the row's entries in order. Tags: n null, b boolean, d number, s string,
-j object or array. Line files are read line by line in parallel; a document is one task.
+j object or array. Line files are read line by line in parallel. Of a document one task finds the elements of
+the root array, by its brackets, quotes and commas alone; they are parsed by many.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 MISSING = object()
@@ -29,21 +31,40 @@ class Entries(list):
     __slots__ = ()
 
 
+def _constant(token: str):
+    raise ValueError(f"format: {token} is not JSON")
+
+
+_DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_constant, object_pairs_hook=Entries)
+
+
 def loads(text: str):
-    def constant(token: str):
-        raise ValueError(f"format: {token} is not JSON")
+    """The value that a text spells, white space around it allowed."""
+    return _DECODER.decode(text)
 
-    return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=constant, object_pairs_hook=Entries)
+
+def load_element(text: str):
+    """The value that begins a text; what separates it from the next element may follow."""
+    value, end = _DECODER.raw_decode(text)
+    if len(text) - end > 1 and text[end:].strip(" \t\r\n") not in ("", ","):
+        raise ValueError("format: something follows an element")
+    return value
+
+
+_string = json.encoder.encode_basestring
 
 
 def dumps(v) -> str:
-    if isinstance(v, Number):
-        return str(v)
-    if isinstance(v, Entries):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + dumps(x) for k, x in v) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(dumps, v)) + "]"
-    return json.dumps(v, ensure_ascii=False)
+    kind = type(v)
+    if kind is Number:
+        return v
+    if kind is str:
+        return _string(v)
+    if kind is Entries:
+        return "{" + ",".join([_string(k) + ":" + dumps(x) for k, x in v]) + "}"
+    if kind is list:
+        return "[" + ",".join([dumps(x) for x in v]) + "]"
+    return "null" if v is None else "true" if v else "false"
 
 
 def cell(v) -> tuple[bool, str | None, str | None]:
@@ -132,72 +153,181 @@ def _first(row, name: str, quoted: bool):
     return lookup(row, name, exact=quoted)
 
 
-def rows_of(root, path: tuple, refs: list[tuple], alias: str | None, star: bool):
-    for row in walk(root, path):
-        entries = [(k, *cell(x)[1:]) for k, x in dict(row).items()] if star and isinstance(row, Entries) else []
-        yield [dict(zip(("present", "tag", "text"), cell(resolve(row, r, alias)))) for r in refs], [dict(zip(("key", "tag", "text"), e)) for e in entries]
+def schema(n: int) -> str:
+    return "record_start long, seq long, refs array<" + VALUE + ">, entries array<struct<key:string,tag:string,text:string>>, line string"
+
+
+_OFFSETS = pa.int32()
+_VALUE_NAMES, _ENTRY_NAMES = ["present", "tag", "text"], ["key", "tag", "text"]
+#: Rows of a batch, and its bytes unless one record has more.
+SIZE, _SLICE_BYTES = 5000, 32 << 20
+_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]] = True
+_MARK[list(b'",[]{}')] = True
+
+
+class _Batch:
+    """Columns of rows (record_start, seq, refs, entries), cell by cell."""
+
+    def __init__(self, refs: int):
+        self.refs = refs
+        self.at, self.seq, self.ends = [], [], [0]
+        self.present, self.tags, self.texts = [], [], []
+        self.keys, self.entry_tags, self.entry_texts = [], [], []
+        self.lines = []
+
+    def value(self, v) -> None:
+        here, tag, text = cell(v)
+        self.present.append(here)
+        self.tags.append(tag)
+        self.texts.append(text)
+
+    def entries(self, row: Entries) -> None:
+        own = dict(row)
+        keys, tags, texts = self.keys, self.entry_tags, self.entry_texts
+        for k, v in own.items():
+            keys.append(k)
+            kind = type(v)
+            if kind is Number:
+                tags.append("d")
+                texts.append(v)
+            elif kind is str:
+                tags.append("s")
+                texts.append(v)
+            else:
+                _, tag, text = cell(v)
+                tags.append(tag)
+                texts.append(text)
+
+    def row(self, at: int, seq: int) -> None:
+        self.at.append(at)
+        self.seq.append(seq)
+        self.ends.append(len(self.keys))
+
+    def arrow(self) -> pa.RecordBatch:
+        text = pa.string()
+        values = pa.StructArray.from_arrays([pa.array(self.present, pa.bool_()), pa.array(self.tags, text), pa.array(self.texts, text)], _VALUE_NAMES)
+        refs = pa.ListArray.from_arrays(pa.array(np.arange(len(self.at) + 1) * self.refs, _OFFSETS), values)
+        entries = pa.StructArray.from_arrays([pa.array(x, text) for x in (self.keys, self.entry_tags, self.entry_texts)], _ENTRY_NAMES)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.at, pa.int64()), pa.array(self.seq, pa.int64()), refs, pa.ListArray.from_arrays(pa.array(self.ends, _OFFSETS), entries), pa.array(self.lines or [None] * len(self.at), text)],
+            ["record_start", "seq", "refs", "entries", "line"],
+        )
+
+
+def reader(path: tuple, refs: list[tuple], alias: str | None, star: str | None, lines: bool):
+    """From batches (value, at) of records: lines, none of them blank, or the elements of a document. star: what
+    a whole row becomes, "entries" or a JSON "line"."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batch(len(refs))
+        for batch in batches:
+            for text, at in zip(batch.column("value").to_pylist(), batch.column("at").to_pylist()):
+                if len(text) > MAX_RECORD // 4 and len(text.encode()) > MAX_RECORD:
+                    raise ValueError("too large: a record of more than 1 MiB")
+                if not lines:  # an empty root array has one MISSING record
+                    root = load_element(text) if text else MISSING
+                elif text.strip():
+                    root = loads(text)
+                else:
+                    raise ValueError("format: a blank line")
+                for seq, row in enumerate(walk(root, path)):
+                    for r in refs:
+                        out.value(resolve(row, r, alias))
+                    if star == "line":
+                        own = dict(row) if isinstance(row, Entries) else {}
+                        out.lines.append(dumps(row if len(own) == len(row) else Entries(own.items())) if own else "{}")
+                    elif star and isinstance(row, Entries):
+                        out.entries(row)
+                    out.row(at, seq)
+                if len(out.at) >= SIZE:
+                    yield out.arrow()
+                    out = _Batch(len(refs))
+        if out.at:
+            yield out.arrow()
 
-def schema(n: int) -> str:
-    return "record_start long, seq long, refs array<" + VALUE + ">, entries array<struct<key:string,tag:string,text:string>>"
+    return run
 
 
-_ARROW = pa.schema(
-    [
-        ("record_start", pa.int64()),
-        ("seq", pa.int64()),
-        ("refs", pa.list_(pa.struct([("present", pa.bool_()), ("tag", pa.string()), ("text", pa.string())]))),
-        ("entries", pa.list_(pa.struct([("key", pa.string()), ("tag", pa.string()), ("text", pa.string())]))),
-    ]
-)
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(value, at) of the slices, in batches; what lies between a slice and the next goes with it."""
+    lo = 0
+    while lo < len(start):
+        hi = min(lo + SIZE, max(lo + 1, int(np.searchsorted(end, start[lo] + _SLICE_BYTES, "right"))))
+        base = int(start[lo])
+        offsets = np.append(start[lo:hi], end[hi - 1]) - base
+        values = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[base : int(end[hi - 1])].tobytes()))
+        yield pa.RecordBatch.from_arrays([values, pa.array(start[lo:hi], pa.int64())], ["value", "at"])
+        lo = hi
 
 
-def _batches(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+def _in_range(start: np.ndarray, scan) -> np.ndarray:
+    """Records count where their first byte is in the range."""
+    return np.ones(len(start), bool) if not scan else (start >= scan[0]) & (start <= (scan[1] if scan[1] is not None else start))
 
 
-def lines_reader(path: tuple, refs: list[tuple], alias: str | None, star: bool):
-    """From batches (value, at) of lines."""
+def line_splitter(unpack, scan):
+    """From batches (content) of whole objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for text, at in zip(batch.column("value").to_pylist(), batch.column("at").to_pylist()):
-                    if not text.strip():
-                        raise ValueError("format: a blank line")
-                    if len(text.encode()) > MAX_RECORD:
-                        raise ValueError("too large: a record of more than 1 MiB")
-                    for k, (r, e) in enumerate(rows_of(loads(text), path, refs, alias, star)):
-                        yield at, k, r, e
-
-        return _batches(rows())
+        for batch in batches:
+            for content in batch.column("content"):
+                data = np.frombuffer(unpack(content.as_py()), np.uint8)
+                end = np.append(np.flatnonzero(data == 10), len(data))
+                start = np.append(0, end[:-1] + 1)
+                keep = _in_range(start, scan) & (start < len(data))
+                yield from _slices(data, start[keep], end[keep])
 
     return run
 
 
-def document_reader(path: tuple, refs: list[tuple], alias: str | None, star: bool, inflate):
+def elements(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the root array's elements, white space and all; of any other root, of the whole."""
+    whole = data.tobytes()
+    first, last = len(data) - len(whole.lstrip(b" \t\r\n")), len(whole.rstrip(b" \t\r\n")) - 1
+    if last < 0 or data[first] != 91:
+        return np.array([0]), np.array([len(data)])
+    marks = _MARK[data]
+    slash = np.flatnonzero(data == 92)
+    if len(slash):  # the second, fourth ... of a run of backslashes is escaped itself
+        head = np.ones(len(slash), bool)
+        head[1:] = np.diff(slash) > 1
+        run = np.maximum.accumulate(np.where(head, np.arange(len(slash)), 0))
+        escapes = slash[(np.arange(len(slash)) - run) % 2 == 0] + 1
+        marks[escapes[escapes < len(data)]] = False
+    marks = np.flatnonzero(marks)
+    kind = data[marks]
+    inside = np.cumsum(kind == 34) % 2 == 1
+    marks, kind = marks[~inside & (kind != 34)], kind[~inside & (kind != 34)]
+    depth = np.cumsum(((kind | 32) == 123).astype(np.int64) - ((kind | 32) == 125))
+    closed = np.flatnonzero(depth == 0)
+    if not len(closed) or marks[closed[0]] != last or kind[closed[0]] != 93:
+        raise ValueError("format: the document does not end with its root array")
+    cuts = marks[(depth == 1) & (kind == 44)]
+    start, end = np.append(first, cuts) + 1, np.append(cuts, last)
+    if len(start) == 1 and not bytes(data[start[0] : end[0]]).strip():
+        return start[:0], end[:0]
+    return start, end
+
+
+def element_splitter(unpack, scan):
     """From batches (content) of whole documents. A root array has a record for each element; an empty one MISSING."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for content in batch.column("content").to_pylist():
-                    text = inflate(content).decode()
-                    if not text:
-                        continue
-                    root = loads(text)
-                    items = root if isinstance(root, list) and not isinstance(root, Entries) else [root]
-                    for at, item in enumerate(items or [MISSING]):
-                        for k, (r, e) in enumerate(rows_of(item, path, refs, alias, star)):
-                            yield at, k, r, e
-
-        return _batches(rows())
+        for batch in batches:
+            for content in batch.column("content"):
+                data = np.frombuffer(unpack(content.as_py()), np.uint8)
+                if not len(data):
+                    continue
+                start, end = elements(data)
+                if not len(start):
+                    yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0], pa.int64())], ["value", "at"])
+                    continue
+                while len(early := np.flatnonzero(_SPACE[data[np.minimum(start, len(data) - 1)]] & (start < end))):
+                    start[early] += 1  # of an element, not of the space before it
+                if (start >= end).any():
+                    raise ValueError("format: an element is missing")
+                keep = _in_range(start, scan)
+                yield from _slices(data, start[keep], end[keep])
 
     return run
