@@ -166,7 +166,7 @@ def _exact(x: Column, y: Column, run, *kinds: str) -> Column:
     """run over both sides in the first of the kinds that holds the two values unchanged; else as they are.
 
     Decimals of 38 digits leave an operation few digits behind the point, those of fewer digits enough."""
-    out = F.lit(None).cast(DEC)
+    out = run(x, y)
     for kind in reversed(kinds):
         a, b = x.try_cast(kind), y.try_cast(kind)
         out = F.when((a == x) & (b == y), run(a, b)).otherwise(out)
@@ -198,9 +198,10 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         x, y = x.cast("decimal(37,10)"), y.cast("decimal(37,10)")
         return Val("num", (x + y if op == "+" else x - y).cast(DEC))
     if op == "*":
-        out = _exact(x, y, lambda p, q: (p * q).cast(DEC), "decimal(18,9)", "decimal(19,0)", "decimal(28,10)", DEC)
+        out = _exact(x, y, lambda p, q: (p * q).cast(DEC), "decimal(18,9)")
         return Val("num", out)
-    out = _exact(x, y, lambda p, q: F.bround(p / F.nullif(q, F.lit(0)), 10).cast(DEC), "decimal(19,0)", "decimal(18,9)", "decimal(28,10)", DEC)
+    by = lambda p, q: F.bround(p / F.nullif(q, F.lit(0)), 10).cast(DEC)
+    out = by(a.native.cast("decimal(19,0)"), b.native.cast("decimal(19,0)")) if a.whole and b.whole else _exact(x, y, by, "decimal(18,9)", "decimal(28,10)")
     return Val("num", F.when(y == 0, fail("value: division by zero").cast(DEC)).otherwise(out))
 
 
