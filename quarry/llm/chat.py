@@ -2,7 +2,7 @@
 
 A turn's text may be a JSON object: an assistant's with `tool_calls` (id, name, arguments, after: ids it must
 follow) and `content`, a tool's with `tool_call_id` and `content`. Calls and results are joined by
-(conversation, identifier); calls are put in topological order by levels, a join for each level; arguments are
+(conversation, identifier); calls are put in topological order by levels, chains by doubled steps; arguments are
 held against the tools' schemas; every message becomes canonical JSON: keys in order, no white space.
 
 The result has a row for each message, call and result, with the columns that order them. No conversation is
@@ -24,23 +24,33 @@ BROADCAST_TOOLS = 10_000
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """calls with level: 0 without known predecessors, else one more than the largest of theirs; null in a cycle."""
-    names = calls.select("conv_id", "call_id").distinct()
-    edges = calls.selectExpr("conv_id", "call_id", "explode(after) as before").distinct().join(names.withColumnRenamed("call_id", "before"), ["conv_id", "before"])
-    edges = cut(edges)
+    """calls with level: 0 without known predecessors, else one more than the largest of theirs; null in or behind a cycle.
+
+    An edge (call, before, steps) says that the call comes at least so many levels after another. In each round calls
+    whose edges all lead to placed ones are placed, and every edge that leads to a call with a single edge
+    is carried on over it: a chain of n calls takes about log2(n) rounds, not n. Where many calls with several
+    predecessors follow each other a round places at least one of them more; a round that places none ends it.
+    """
+    key = ["conv_id", "call_id"]
+    names = calls.select(*key).distinct()
+    edges = calls.selectExpr("conv_id", "call_id", "explode(after) as before", "1L as steps").distinct().join(names.withColumnRenamed("call_id", "before"), ["conv_id", "before"])
+    edges = cut(edges.select("conv_id", "call_id", "before", "steps"))
     if edges.isEmpty():
         return calls.withColumn("level", F.lit(0))
-    done = names.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = cut(done)
+    done = cut(names.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
     while True:
-        # calls all of whose predecessors have a level
         state = edges.join(done.selectExpr("conv_id", "call_id as before", "level"), ["conv_id", "before"], "left")
-        ready = state.groupBy("conv_id", "call_id").agg(F.max("level").alias("l"), F.bool_and(F.col("level").isNotNull()).alias("ok")).where("ok")
-        more = cut(ready.selectExpr("conv_id", "call_id", "l + 1 as level").join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-        if more.isEmpty():
+        ready = state.groupBy(*key).agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ok")).where("ok").drop("ok")
+        ready = cut(ready)
+        if ready.isEmpty():
             break
-        done = cut(done.union(more))
-    return calls.join(done, ["conv_id", "call_id"], "left")
+        done = cut(done.union(ready))
+        left = edges.join(ready.select(*key), key, "left_anti")
+        single = left.groupBy(*key).agg(F.count("*").alias("n"), F.min("before").alias("next"), F.min("steps").alias("more")).where("n = 1")
+        on = single.selectExpr("conv_id", "call_id as before", "next", "more")
+        edges = left.join(on, ["conv_id", "before"], "left").selectExpr("conv_id", "call_id", "coalesce(next, before) before", "steps + coalesce(more, 0L) steps")
+        edges = cut(edges.groupBy("conv_id", "call_id", "before").agg(F.max("steps").alias("steps")))
+    return calls.join(done.withColumn("level", F.col("level").cast("int")), key, "left")
 
 
 def format_chat(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
@@ -111,3 +121,35 @@ def format_chat(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
         F.to_json(F.struct("content", "role", F.col("call_id").alias("tool_call_id")), {"ignoreNullFields": "false"}).alias("json"),
     )
     return messages.union(call_rows).union(result_rows)
+
+
+#: Tools that turn_calls() names: required arguments and their JSON types.
+TURN_TOOLS = [("note", ["text", "topic"], {"text": "string", "topic": "string"}), ("reply", ["text", "chars"], {"text": "string", "chars": "integer"})]
+#: Turns with fewer characters are notes.
+NOTE_CHARS = 300
+
+
+def turn_calls(turns: DataFrame) -> DataFrame:
+    """Conversations without tool calls as conversations with them: conv_id, turn, role, text.
+
+    An assistant's turn is a call `turn-<turn>` of the tool reply, with its text and number of characters as arguments,
+    or of note if it is short (which then lacks its topic); it follows the call of the assistant's turn two before.
+    The user's turn after an assistant's is the result of that call, by its number; others stay messages. A null turn or
+    text makes no call.
+    """
+    t = turns.select(turns["conv_id"], turns["turn"], turns["role"], turns["text"].cast("string").alias("text"))
+    name = F.when(F.char_length("text") < NOTE_CHARS, F.lit("note")).otherwise(F.lit("reply"))
+    chars = F.when(name == "reply", F.char_length("text"))
+    call = F.struct(
+        F.concat(F.lit("turn-"), "turn").alias("id"), name.alias("name"), F.struct("text", chars.alias("chars")).alias("arguments"),
+        F.array(F.concat(F.lit("turn-"), F.col("turn") - 2)).alias("after"),
+    )
+    calls = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    result = F.to_json(F.struct(F.concat(F.lit("turn-"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    whole = F.col("turn").isNotNull() & F.col("text").isNotNull()
+    is_call, is_result = whole & (F.col("role") == "assistant"), whole & (F.col("role") == "user") & (F.col("turn") > 0)
+    return t.select(
+        "conv_id", "turn",
+        F.when(is_result, F.lit("tool")).otherwise(F.col("role")).alias("role"),
+        F.when(is_call, calls).when(is_result, result).otherwise(F.col("text")).alias("text"),
+    )

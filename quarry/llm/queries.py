@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._labels import fold
-from quarry.llm.chat import format_chat
+from quarry.llm.chat import NOTE_CHARS, TURN_TOOLS, format_chat, turn_calls
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.html_extract import extract_main_text
 from quarry.llm.jaccard import ngram_jaccard_join
@@ -65,7 +65,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(table(spark, sf_dir, "conversations"))
+    """The table has no calls of its own: they are made of its turns, as turn_calls() says."""
+    tools = spark.createDataFrame(TURN_TOOLS, "name string, required array<string>, types map<string,string>")
+    found = format_chat(turn_calls(table(spark, sf_dir, "conversations")), tools)
+    return found.withColumn("problems", F.array_join("problems", "; "))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +101,15 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT a, b FROM o JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * m >= 80 * (ca.n + cb.n - m)),
             r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
             SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "op8_chat_formatting": f"""WITH RECURSIVE t AS (SELECT *, turn IS NOT NULL AND text IS NOT NULL AND role = 'assistant' AS is_call, turn IS NOT NULL AND text IS NOT NULL AND role = 'user' AND turn > 0 AS is_result, length(text) < {NOTE_CHARS} AS short FROM conversations),
+            c AS (SELECT * FROM t WHERE is_call),
+            v AS (SELECT conv_id, turn, 0 AS level FROM c WHERE (conv_id, turn - 2) NOT IN (SELECT conv_id, turn FROM c) UNION ALL SELECT c.conv_id, c.turn, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.turn = v.turn + 2)
+            SELECT conv_id, turn, 0 AS level, 0 AS part, role, NULL AS call_id, 'message' AS status, NULL::BOOLEAN AS valid, '' AS problems,
+                '{{"content":' || CASE WHEN is_call THEN 'null' ELSE coalesce(to_json(text)::VARCHAR, 'null') END || ',"role":' || to_json(role) || '}}' AS json FROM t WHERE NOT is_result
+            UNION ALL SELECT conv_id, turn, level, 1, role, 'turn-' || turn, CASE WHEN (conv_id, turn + 1) IN (SELECT conv_id, turn FROM t WHERE is_result) THEN 'linked' ELSE 'no_result' END, NOT short, CASE WHEN short THEN 'topic: missing' ELSE '' END,
+                '{{"arguments":{{' || CASE WHEN short THEN '' ELSE '"chars":' || length(text) || ',' END || '"text":' || to_json(text) || '}},"id":"turn-' || turn || '","name":"' || CASE WHEN short THEN 'note' ELSE 'reply' END || '"}}' FROM c JOIN v USING (conv_id, turn)
+            UNION ALL SELECT r.conv_id, coalesce(v.turn, r.turn), coalesce(level, 0), 2, 'tool', 'turn-' || (r.turn - 1), CASE WHEN v.turn IS NULL THEN 'no_call' ELSE 'linked' END, NULL, '',
+                '{{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"turn-' || (r.turn - 1) || '"}}' FROM t r LEFT JOIN v ON v.conv_id = r.conv_id AND v.turn = r.turn - 1 WHERE is_result""",
         "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
             w1 AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
             w2 AS (SELECT *, word || ' ' || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY k) AS s2 FROM w1),
