@@ -74,6 +74,21 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.diff(np.searchsorted(start, bounds))
 
 
+#: ASCII punctuation.
+PUNCT = np.zeros(256, bool)
+PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def cores(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words without the punctuation around them, however much; words of nothing else as they are."""
+    at = np.flatnonzero(~PUNCT[data])
+    lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
+    has = hi > lo
+    s, e = start.copy(), end.copy()
+    s[has], e[has] = at[lo[has]], at[hi[has] - 1] + 1
+    return s, e
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each word; with lower, A-Z count as a-z."""
     table, out, i, n = (_LOWER if lower else _BYTE), np.empty(len(start), U), 0, len(start)

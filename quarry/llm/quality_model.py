@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as tx
 from quarry.llm._labels import fold, sample
 from quarry.llm._spark import documents, real_id
-from quarry.llm.toxicity import _PUNCT
 
 TRAIN_DOCS, HIDDEN, EPOCHS = 12_000, 32, 400
 WORDS, FORMS, DIM, NONZERO = 1 << 14, 1 << 9, 32, 4
@@ -36,10 +35,7 @@ _UPPER[65:91], _DIGIT[48:58] = True, True
 def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letters, form, hash) of each word, and the number of words of each text."""
     a, b, counts = tx.words(data, bounds)
-    s, e = a.copy(), b.copy()
-    for _ in range(4):
-        e -= _PUNCT[data[e - 1]] & (e - s > 1)
-        s += _PUNCT[data[s]] & (e - s > 1)
+    s, e = tx.cores(data, a, b)
     h = tx.word_hashes(data, s, e, lower=True)
     upper = np.concatenate(([0], np.cumsum(_UPPER[data])))
     digit = np.concatenate(([0], np.cumsum(_DIGIT[data])))
@@ -55,8 +51,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(TERMS * DIM, np.float64)
 
     def add(term: np.ndarray, other: np.ndarray) -> None:
+        # pairs of terms once, with how often they occur
+        pair, often = np.unique(term * TERMS + other, return_counts=True)
+        term, other = pair // TERMS, pair % TERMS
         for k in range(NONZERO):
-            total[:] += np.bincount(term * DIM + _PLACE[other, k], _SIGN[other, k], TERMS * DIM)
+            total[:] += np.bincount(term * DIM + _PLACE[other, k], _SIGN[other, k] * often, TERMS * DIM)
 
     for _, data, bounds in tx.blocks(batches):
         word, form, _, counts = terms(data, bounds)
@@ -184,7 +183,8 @@ def quality(
 
     Word vectors are of all rows. The network is trained on at most train_docs labelled documents outside fold
     `out` (crc32 of the id modulo folds); a fifth of those serve the temperature alone. Null and empty texts
-    are scored as a text without words. Of several labels of an id the largest counts; rows with a null id or
+    are scored as a text without words. Of several labels of an id the largest counts, of several labelled texts of
+    an id one; rows with a null id or
     label train nothing; without labels of both kinds every score is the labels' mean (0.5 without any). Null ids
     stay null, repeated rows give repeated rows, other columns are ignored, an empty table gives none.
     """
@@ -194,6 +194,8 @@ def quality(
     shared = spark.sparkContext.broadcast(vectors)
     marks = F.broadcast(sample(labels, id_col, label, folds, out, train_docs))  # at most train_docs rows
     rows = own.join(marks, "id").select("id", "text", "y").mapInArrow(_pool(shared), "id long, y int, x binary")
+    # one row an id, however often it is there: train_docs rows of a few hundred bytes reach the driver
+    rows = rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y")
     rows = rows.withColumn("held", fold(F.col("id"), 7) == 0).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     y = np.array([r["y"] for r in rows])

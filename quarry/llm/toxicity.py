@@ -19,13 +19,13 @@ from quarry.llm import _text as tx
 from quarry.llm._labels import sample
 from quarry.llm._spark import documents, real_id
 
-#: Labelled documents that training uses at most, and words of each whose places among the sentences it keeps.
+#: Labelled documents that training uses at most.
 TRAIN_DOCS = 4_000
 BUCKETS, LEAST_DOCS, LEAST_SURPRISE, EPOCHS, OFFENDING = 1 << 20, 3, 11.0, 200, 0.5
-#: A word counts with its beginnings of so many bytes, so that inflected forms share a weight.
+#: Bytes of a labelled text beyond which it trains nothing.
+TRAIN_BYTES = 1 << 17
+#: A word counts with its beginnings of so many bytes, up to the next letter, so that inflected forms share a weight.
 BEGINNINGS = (4, 5, 6)
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -41,15 +41,15 @@ def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     lines = np.cumsum(data == 10)
     first = np.ones(len(a), bool)
     first[1:] = (doc[1:] != doc[:-1]) | _STOP[data[b[:-1] - 1]] | (lines[a[1:]] > lines[b[:-1] - 1])
-    s, e = a.copy(), b.copy()
-    for _ in range(4):
-        e -= _PUNCT[data[e - 1]] & (e - s > 1)
-        s += _PUNCT[data[s]] & (e - s > 1)
+    s, e = tx.cores(data, a, b)
     sent, at = np.cumsum(first) - 1, np.flatnonzero(first)
     hashes, places = [tx.word_hashes(data, s, e, lower=True)], [sent]
     for k in BEGINNINGS:
         longer = np.flatnonzero(e - s > k)
-        hashes.append(tx.mix(tx.word_hashes(data, s[longer], s[longer] + k, lower=True) + tx.U(k)))
+        cut = s[longer] + k
+        for _ in range(3):  # a letter of several bytes is not cut
+            cut += (data[np.minimum(cut, len(data) - 1)] & 192 == 128) & (cut < e[longer])
+        hashes.append(tx.mix(tx.word_hashes(data, s[longer], cut, lower=True) + tx.U(k)))
         places.append(sent[longer])
     bucket, places = (np.concatenate(hashes) % tx.U(BUCKETS)).astype(np.int64), np.concatenate(places)
     order = np.argsort(places, kind="stable")
@@ -97,9 +97,9 @@ def _surprise(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
     return np.where(share > rate, g, 0)
 
 
-def train(rows: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(weights, bias) from (label, words, sentences). Only words that occur in LEAST_DOCS documents that aren't near
-    copies, and in bad ones more often than chance lets expect (LEAST_SURPRISE), get a weight."""
+def train(rows: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, least_docs: int = LEAST_DOCS, least_surprise: float = LEAST_SURPRISE) -> tuple[np.ndarray, float]:
+    """(weights, bias) from (label, words, sentences). Only words that occur in least_docs documents that aren't near
+    copies, and in bad ones more often than chance lets expect (least_surprise), get a weight."""
     words, sents, docs, n = [], [], [], 0
     for k, (_, w, s) in enumerate(rows):
         w, s = np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)
@@ -116,8 +116,8 @@ def train(rows: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS) -> tuple[n
     pair = pair[_first_of_copies(pair // BUCKETS, pair % BUCKETS, len(y))[pair // BUCKETS]]
     often = np.bincount(pair % BUCKETS, minlength=BUCKETS)
     with_bad = np.bincount(pair % BUCKETS, y[pair // BUCKETS], BUCKETS)
-    used = np.flatnonzero(often >= LEAST_DOCS)
-    used = used[_surprise(with_bad[used], often[used], float(y.mean())) >= LEAST_SURPRISE]
+    used = np.flatnonzero(often >= least_docs)
+    used = used[_surprise(with_bad[used], often[used], float(y.mean())) >= least_surprise]
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     keep = place[words] >= 0
@@ -157,20 +157,34 @@ def _score(model):
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 3, out: int = 1, train_docs: int = TRAIN_DOCS
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label: str = "toxic",
+    folds: int = 3,
+    out: int = 1,
+    train_docs: int = TRAIN_DOCS,
+    train_bytes: int = TRAIN_BYTES,
+    least_docs: int = LEAST_DOCS,
+    least_surprise: float = LEAST_SURPRISE,
 ) -> DataFrame:
     """(doc_id, score, offending): probability that label is 1, and the texts of the sentences with p >= OFFENDING.
 
-    Trained on at most train_docs labelled documents outside fold `out` (crc32 of the id modulo folds). Null
-    and empty texts have no sentence and score 0. Of several labels of an id the largest counts; rows with a null
-    id or label train nothing; without labels of both kinds all weights are 0. Null ids stay null, repeated rows
+    Trained on at most train_docs labelled documents of at most train_bytes bytes, outside fold `out` (crc32 of the id
+    modulo folds); whole texts of any length are scored. A word gets a weight only if it occurs in least_docs training
+    documents, near copies counted once, and in toxic ones so often that twice the log likelihood ratio against
+    chance is least_surprise. Null and empty texts have no sentence and score 0. Of several labels of an id the
+    largest counts, of several labelled texts of an id one; rows with a null id or label train nothing; without labels of both kinds all weights are 0. Null ids stay null, repeated rows
     give repeated rows, other columns are ignored, an empty table gives none.
     """
     spark = docs.sparkSession
     own = documents(docs, id_col, text_col)
     marks = F.broadcast(sample(labels, id_col, label, folds, out, train_docs))  # at most train_docs rows
-    rows = own.join(marks, "id").select("id", "text", "y").mapInArrow(_features, "id long, y int, words binary, sents binary").collect()
+    fit = own.where(F.octet_length("text") <= train_bytes).join(marks, "id").select("id", "text", "y")
+    # one row an id, however often it is there
+    rows = fit.mapInArrow(_features, "id long, y int, words binary, sents binary").groupBy("id").agg(F.min(F.struct("words", "sents", "y")).alias("r")).select("id", "r.*").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["words"])))
-    model = spark.sparkContext.broadcast(train([(r["y"], bytes(r["words"]), bytes(r["sents"])) for r in rows]))
+    model = spark.sparkContext.broadcast(train([(r["y"], bytes(r["words"]), bytes(r["sents"])) for r in rows], EPOCHS, least_docs, least_surprise))
     scored = own.mapInArrow(_score(model), "id long, score double, offending array<binary>")
     return scored.select(real_id(F.col("id")).alias(id_col), "score", F.expr("transform(offending, x -> cast(x as string))").alias("offending"))
