@@ -3,8 +3,8 @@
 All leaves hold near-equal bytes: a node that stands for k shards is cut at the weighted quantile
 floor(k / 2) / k of its widest metadata dimension (extent over the extent of the whole table), all nodes of a
 level at once. The quantile is exact: rows are range-partitioned by (node, value, crc, id), each range adds
-up its bytes, and running sums start from the sums of the ranges before. No task gets a whole node and only
-extents and sums of at most `shards` nodes reach the driver. The texts themselves are read once, for their sizes.
+up its bytes, and running sums start from the sums of the ranges before. No task gets a whole node. Nodes are rows of
+a table, too; the driver gets one row, the bytes and extents of the whole. The texts are read once, for their sizes.
 
 Rows with equal coordinates are in the order of their texts' crc and id, so copies stay together unless
 a cut falls between them; a group larger than a shard must be cut.
@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from quarry.llm._spark import NULL_ID, cut, partitions, real_id
 
 SHARDS, OVERHEAD = 24, 8
+#: Nodes of a level, of 24 bytes each, up to which their table is broadcast; larger levels are joined.
+BROADCAST_NODES = 100_000
 DIMENSIONS = ("n_chars", "lang", "source")
 
 
@@ -52,17 +54,19 @@ def kd_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     dimensions: tuple[str, ...] = DIMENSIONS,
-    shards: int | None = SHARDS,
+    shards: int | None = None,
     target_bytes: int | None = None,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards 0 to shards - 1 of near-equal bytes, slots gapless from 0.
 
-    size is the text's UTF-8 bytes (null: none) plus 8. With target_bytes instead of shards there are as many
-    shards as keep the mean at most that. Dimensions that docs lacks don't count; strings count by their rank
+    size is the text's UTF-8 bytes (null: none) plus 8. Either shards or target_bytes is given; with the latter nodes
+    are split until the mean of the leaves is at most that. Dimensions that docs lacks don't count; strings count by their rank
     among the distinct ones; null values come first; a
     null id comes last and stays null. Ties are cut by the crc of the text, then the id; repeated rows are rows of
     their own. With fewer rows than shards some shards are empty; an empty table gives none.
     """
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give either shards or target_bytes")
     spark = docs.sparkSession
     parts = partitions(spark)
     names = [d for d in dimensions if d in docs.columns]
@@ -72,54 +76,37 @@ def kd_shards(
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
         *(docs[d].alias(f"d{k}") for k, d in enumerate(names)),
-        F.lit(0).alias("node"),
+        F.monotonically_increasing_id().alias("u"),  # tells equal rows apart
+        F.lit(0).cast("long").alias("node"),
     )
     t = cut(t)
     dims = [f"d{k}" for k in range(len(names))]
     if dims:
         t = cut(reduce(lambda u, d: _numbers(u, parts, d), dims, t))
-    whole: dict[str, float] = {}
-    nodes: dict[int, tuple[int, int]] = {}  # node -> (shards, its first shard)
-    level = 0
-    while True:
-        stats = {
-            r["node"]: r
-            for r in t.groupBy("node").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(f"{d}_lo") for d in dims), *(F.max(d).alias(f"{d}_hi") for d in dims)).collect()
-        }  # at most `shards` rows
-        if not level:
-            total = stats[0]["bytes"] if stats else 0
-            k = shards if shards is not None else max(1, -(-total // target_bytes))
-            nodes = {0: (k, 0)}
-            whole = {d: (stats[0][f"{d}_hi"] - stats[0][f"{d}_lo"]) or 1.0 for d in dims} if stats else {}
-        if all(k == 1 for k, _ in nodes.values()) or not stats:
-            break
-        level += 1
-        split: dict[int, tuple[int, int]] = {}
-        arms_key, arms_goal = [], []
-        for n, (k, first) in nodes.items():
-            if n not in stats:  # no rows: its shards are empty
-                continue
-            if k == 1:
-                split[2 * n] = (k, first)
-                arms_goal.append((n, 9e18))
-                continue
-            row = stats[n]
-            widest = max(dims, key=lambda d: (row[f"{d}_hi"] - row[f"{d}_lo"]) / whole[d], default=None)
-            if widest:
-                arms_key.append((n, F.col(widest)))
-            arms_goal.append((n, row["bytes"] * (k // 2) / k))
-            split[2 * n], split[2 * n + 1] = (k // 2, first), (k - k // 2, first + k // 2)
-        key = reduce(lambda c, a: F.when(F.col("node") == a[0], a[1]).otherwise(c), arms_key, F.lit(0.0))
-        goal = reduce(lambda c, a: F.when(F.col("node") == a[0], F.lit(a[1])).otherwise(c), arms_goal, F.lit(-1.0))
-        ranged = _ranges(t.withColumn("key", key), parts, ["node", "key", "crc", "id"])
-        own = Window.partitionBy("node", "pid").orderBy("key", "crc", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = t.agg(F.sum("size").alias("bytes"), *(F.min(d).alias(f"{d}_lo") for d in dims), *(F.max(d).alias(f"{d}_hi") for d in dims)).first()
+    k = shards if shards is not None else max(1, -(-(bounds["bytes"] or 0) // target_bytes))
+    nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(k).cast("long").alias("k"), F.lit(0).cast("long").alias("first"))
+
+    def near(table: DataFrame, level: int) -> DataFrame:
+        return F.broadcast(table) if min(k, 2**level) <= BROADCAST_NODES else table
+
+    for level in range((k - 1).bit_length() if bounds["bytes"] else 0):
+        extents = [f"struct((max({d}) - min({d})) / {float(bounds[f'{d}_hi'] - bounds[f'{d}_lo']) or 1.0}D as extent, {-n} as minus)" for n, d in enumerate(dims)]
+        widest = f"-array_max(array({', '.join(extents)})).minus" if dims else "0"
+        stats = t.groupBy("node").agg(F.sum("size").alias("bytes"), F.expr(widest).alias("widest")).join(near(nodes, level), "node")
+        # a node of one shard, or without rows, is not split
+        plan = cut(stats.selectExpr("node", "widest", "if(k = 1, 9e18D, bytes * (k div 2) / k) goal"))
+        key = F.expr(f"element_at(array({', '.join(dims)}), widest + 1)" if dims else "0D")
+        ranged = _ranges(t.join(near(plan, level), "node").withColumn("key", key), parts, ["node", "key", "crc", "id", "u"])
+        own = Window.partitionBy("node", "pid").orderBy("key", "crc", "id", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         running = ranged.withColumn("run", F.sum("size").over(own)).join(_ahead(ranged, "node", F.sum("size")), ["node", "pid"])
-        right = (F.col("run") + F.col("ahead") - F.col("size") / 2 > goal).cast("int")
-        t = cut(running.withColumn("node", 2 * F.col("node") + right).select("id", "size", "crc", *dims, "node"))
-        nodes = split
-    shard = reduce(lambda c, a: F.when(F.col("node") == a[0], F.lit(a[1][1])).otherwise(c), nodes.items(), F.lit(0))
-    ranged = _ranges(t.select("id", "size", "crc", shard.cast("int").alias("shard")), parts, ["shard", "crc", "id"])
-    own = Window.partitionBy("shard", "pid").orderBy("crc", "id")
+        right = F.expr("if(run + ahead - size / 2 > goal, 1L, 0L)")
+        t = cut(running.withColumn("node", 2 * F.col("node") + right).select("id", "size", "crc", "u", *dims, "node"))
+        halves = "array(struct(2 * node as node, k div 2 as k, first as first), struct(2 * node + 1 as node, k - k div 2 as k, first + k div 2 as first))"
+        nodes = nodes.selectExpr(f"inline(if(k = 1, array(struct(2 * node as node, k as k, first as first)), {halves}))")
+    placed = t.join(near(nodes, (k - 1).bit_length()), "node").select("id", "size", "crc", "u", F.col("first").cast("int").alias("shard")) if bounds["bytes"] else t.select("id", "size", "crc", "u", F.lit(0).alias("shard"))
+    ranged = _ranges(placed, parts, ["shard", "crc", "id", "u"])
+    own = Window.partitionBy("shard", "pid").orderBy("crc", "id", "u")
     placed = ranged.withColumn("r", F.row_number().over(own) - 1).join(_ahead(ranged, "shard", F.count("*")), ["shard", "pid"])
     return placed.select(
         real_id(F.col("id")).alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("r") + F.col("ahead")).cast("long").alias("slot")
