@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 #: Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style template iframe svg object textarea select title annotation annotation-xml".split()
+RAW = "script style template iframe textarea select title annotation annotation-xml".split()
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var noscript".split())
 MATH = set("math maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
-INLINE |= MATH
+DRAWN = set("svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol marker mask pattern filter lineargradient radialgradient stop clippath".split())
+INLINE |= MATH | DRAWN | {"object"}
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 NEVER = {"head", "form", "button", "fieldset"}
@@ -53,6 +55,7 @@ class Page:
         self.parent, self.tag, self.names, self.label, self.own, self.linked = [-1], ["html"], [""], [None], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, node it belongs to)
+        opened: Counter[str] = Counter()  # open elements by tag
         text: list[str] = []
         links = quiet = at = 0  # open links, open noscripts
 
@@ -67,10 +70,16 @@ class Page:
             nonlocal links, quiet
             if any(t not in INLINE for t, _ in stack[k:]):
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            quiet -= sum(t == "noscript" for t, _ in stack[k:])
+            gone = Counter(t for t, _ in stack[k:])
+            links -= gone["a"]
+            quiet -= gone["noscript"]
+            opened.subtract(gone)
             del stack[k:]
 
+        def enter(tag: str, node: int) -> None:
+            stack.append((tag, node))
+            opened[tag] += 1
+
         def say(raw: str) -> None:
             if raw:
                 text.append(html.unescape(raw))
@@ -88,19 +97,19 @@ class Page:
             if not tag:
                 continue
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if opened[tag] > 0 else 0, 0, -1):
                     if stack[k][0] == tag:
                         close(k)
                         break
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] not in INLINE or stack[k][0] == "noscript":
                         break
-            if tag in SCOPES:
+            if tag in SCOPES and (opened[tag] > 0 or tag in ("dt", "dd")):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")):
                         close(k)
@@ -116,17 +125,17 @@ class Page:
             if tag in INLINE:
                 if tag in ("mtr", "mtd"):
                     text.append(" ")
-                if tag in MATH and m[4].rstrip().endswith("/"):
+                if tag in MATH | DRAWN and m[4].rstrip().endswith("/"):
                     continue
                 links += tag == "a"
                 quiet += tag == "noscript"
-                stack.append((tag, stack[-1][1]))
+                enter(tag, stack[-1][1])
                 continue
             if tag == "html" and len(self.tag) == 1:
                 continue
             flush()
             if quiet:  # stands or falls with the element around the noscript, of which it is no evidence
-                stack.append((tag, -1 if tag in NEVER else stack[-1][1]))
+                enter(tag, -1 if tag in NEVER else stack[-1][1])
                 continue
             label = _LABEL.search(m[4])
             self.parent.append(stack[-1][1])
@@ -136,7 +145,7 @@ class Page:
             self.own.append(0)
             self.linked.append(0)
             if not m[4].rstrip().endswith("/") or tag != "path":
-                stack.append((tag, len(self.tag) - 1))
+                enter(tag, len(self.tag) - 1)
         say(source[at:])
         flush()
 
@@ -260,7 +269,7 @@ def marginals(pages: list[Page], model: Potentials) -> list[np.ndarray]:
     depth = np.zeros(at[-1], int)
     for k in np.flatnonzero(~root):
         depth[k] = depth[parent[k]] + 1
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
     up = own.copy()  # evidence of the subtree
     sent = np.zeros_like(own)
     for level in levels[:0:-1]:
@@ -299,7 +308,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Character references are decoded, white space within a block is one space; a br counts as white space.
     Null or empty pages, and those without content, have an empty text. Unclosed and misnested elements are
     closed as browsers do; an unfinished tag at the end is markup. A formula in MathML is its text without its
-    annotations; a noscript's text counts if the element around it is content. Repeated rows give repeated rows, other columns
+    annotations, a drawing's text and what stands in for an object are text; controls of forms are not. A noscript's text counts if the element around it is content. Repeated rows give repeated rows, other columns
     are ignored, an empty table gives none.
     """
     own = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
