@@ -14,8 +14,8 @@ from quarry.llm.html_extract import extract_main_text
 from quarry.llm.jaccard import ngram_jaccard_join
 from quarry.llm.packing import best_fit_packing
 from quarry.llm.quality_model import quality
-from quarry.llm.quality_rules import quality_rules
-from quarry.llm.shard import kd_shards
+from quarry.llm.quality_rules import CUTOFFS, FOLDS, LEVEL, RISK, quality_rules
+from quarry.llm.shard import SHARDS, kd_shards
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.toxicity import toxicity
 
@@ -35,7 +35,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kd_shards(table(spark, sf_dir, "documents")).select(
+    return kd_shards(table(spark, sf_dir, "documents"), shards=SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -89,6 +89,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _rules_sql() -> str:
+    ratio = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+    ratios = ", ".join(f"coalesce(100.0::DOUBLE * {a} / nullif({b}, 0)::DOUBLE, 0) AS {r}" for r, (a, b) in ratio.items())
+    tall = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS v FROM m" for r in ratio)
+    cuts = ", ".join(f"('{r}', {k}, {c}::DOUBLE)" for r, cs in CUTOFFS.items() for k, c in enumerate(cs))
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+        d AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS l FROM t),
+        w1 AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+        w2 AS (SELECT *, word || ' ' || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY k) AS s2 FROM w1),
+        w4 AS (SELECT *, s2 || ' ' || lead(s2, 2) OVER (PARTITION BY doc_id ORDER BY k) AS s4 FROM w2),
+        w8 AS (SELECT doc_id, word, k, s4 || ' ' || lead(s4, 4) OVER (PARTITION BY doc_id ORDER BY k) AS s8 FROM w4),
+        wr AS (SELECT doc_id, word, k, s8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, s8) > 1 AS again FROM w8),
+        wc AS (SELECT doc_id, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM wr),
+        c AS (SELECT doc_id, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE covered) AS n_repeat_words FROM wc GROUP BY doc_id),
+        b AS (SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+            (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+        m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {ratios} FROM b),
+        v AS ({tall}),
+        h AS (SELECT m.doc_id, m.stratum, quality, ('0x' || substr(md5(m.doc_id::VARCHAR), 1, 8))::BIGINT % {FOLDS} = 0 AS choosing FROM m JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
+        s AS (SELECT stratum, sum(CASE WHEN choosing THEN 0 ELSE quality END) AS n, count(*) OVER () AS many FROM h GROUP BY stratum),
+        p AS (SELECT stratum, many, CASE WHEN n * ln(1 - {RISK}::DOUBLE) <= ln({LEVEL}::DOUBLE / many) THEN '=' || stratum ELSE '*' END AS pool FROM s),
+        hp AS (SELECT h.*, pool, many FROM h JOIN p USING (stratum)),
+        cuts(rule, p, cutoff) AS (VALUES {cuts}),
+        a AS (SELECT pool, cuts.rule, cuts.p, cutoff, count(*) FILTER (WHERE quality = 1 AND v.v > cutoff) AS lost, count(*) FILTER (WHERE quality = 0 AND v.v > cutoff) AS caught, count(*) FILTER (WHERE quality = 1) AS n
+            FROM hp JOIN v ON v.doc_id = hp.doc_id JOIN cuts ON cuts.rule = v.rule WHERE choosing GROUP BY ALL),
+        walk AS (SELECT pool, rule, cutoff, row_number() OVER (PARTITION BY pool ORDER BY lost, -p, -caught, rule, cutoff) AS step FROM a WHERE caught > 0 AND lost <= {RISK}::DOUBLE * n),
+        f AS (SELECT hp.pool, hp.doc_id, any_value(many) AS many, min(step) FILTER (WHERE v.v > cutoff) AS step FROM hp LEFT JOIN walk ON walk.pool = hp.pool LEFT JOIN v ON v.doc_id = hp.doc_id AND v.rule = walk.rule WHERE NOT choosing AND quality = 1 GROUP BY ALL),
+        n AS (SELECT pool, any_value(many) AS many, count(*) AS n FROM f GROUP BY pool),
+        k AS (SELECT walk.*, n, many, (SELECT count(*) FROM f WHERE f.pool = walk.pool AND f.step <= walk.step) AS k FROM walk JOIN n USING (pool)),
+        q AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}::DOUBLE) + (n - i) * ln(1 - {RISK}::DOUBLE))) FROM (SELECT unnest(range(k.k + 1)) AS i)) <= {LEVEL}::DOUBLE / many AS passed FROM k),
+        e AS (SELECT pool, rule, min(cutoff) AS cutoff FROM q WHERE step < coalesce((SELECT min(step) FROM q x WHERE x.pool = q.pool AND NOT x.passed), 1000000) GROUP BY ALL),
+        r AS (SELECT DISTINCT v.doc_id FROM v JOIN p ON p.stratum = v.stratum JOIN e ON e.pool = p.pool AND e.rule = v.rule WHERE v.v > cutoff)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM r) AS kept FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose rows no learned model, greedy order or tokenizer decides."""
     return {
@@ -120,4 +155,5 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT doc_id, word, k, bool_or(r) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
             SELECT d.doc_id, count(c.k) AS n_words, count(*) FILTER (WHERE c.gone) AS n_removed, sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.k) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
             FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "op10_quality_rules": _rules_sql(),
     }
