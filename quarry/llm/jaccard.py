@@ -1,9 +1,10 @@
-"""Exact Jaccard self-join of documents on word shingles, by prefix-filtered inverted lists.
+"""Exact Jaccard self-join of documents on word shingles: T-occurrence search over inverted lists, by DivideSkip.
 
 Two sets of n and m shingles reach the threshold only if they share at least T = ceil(threshold * n)
-shingles of the first. So of the n inverted lists of a document the T - 1 longest need not be merged: a
-partner occurs in one of the other, shortest lists. Partners found there are confirmed on the whole sets
-(not DivideSkip: lists are neither merged with counts nor probed).
+shingles of the first. A document's lists are divided: its L = T - 2 longest are skipped, so that a partner occurs
+at least T - L = 2 times in the shorter ones (lists are in one order for all documents, thus in the shorter ones of
+both). The short lists are merged with their counts, by sorting in Spark in place of a heap, as no document's lists lie
+in one task; partners that occur often enough are probed by binary search for all other shingles.
 
 1. Each task hashes its documents' shingle sets, links documents with equal sets at once and sends the
    sets of the others, dealt by hash.
@@ -13,9 +14,9 @@ partner occurs in one of the other, shortest lists. Partners found there are con
    shingles and the shortest lists' shingles to be merged.
 4. Each short list links its documents to the one with most shared shingles: linear in the list, however long.
    The pairs are confirmed on the whole sets, and connected components formed.
-5. All other pairs that share a short list, are still in different components and have enough shared shingles
-   for the overlap are confirmed, so no link between components is missed and no group is expanded into
-   all its pairs.
+5. Of all other documents those are merged that are still in different components and have enough shared shingles
+   for the overlap; pairs that occur often enough are confirmed, so no link between components is missed and no
+   group of copies is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from quarry.llm import _text as tx
 from quarry.llm._spark import NULL_ID, components, cut, documents, partitions, real_id
 
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
+#: Occurrences that the merge of short lists asks for, T - L; for smaller T all of them.
+MERGED = 2
 #: Shingles that a task holds before it sends them.
-HELD = 1_000_000
+HELD = 1_500_000
 #: Bytes of a batch of answers, unless one document has more.
 BATCH_BYTES = 16 << 20
 _BASE = 0xE7037ED1A0B428DB
@@ -201,7 +204,7 @@ def _sift(num: int, den: int):
                     own, k = own[np.sort(keep)], new.size
                 least = int(needed(n[d], num, den))
                 if k >= least:
-                    shared[d], short[d] = new.tobytes(), own[: k - least + 1].tobytes()
+                    shared[d], short[d] = new.tobytes(), own[: k - least + min(MERGED, least)].tobytes()
                     odd = np.bincount((new & tx.U(255)).astype(np.int64), minlength=256) & 1
                     bits[d] = np.packbits(odd.astype(np.uint8)).tobytes()
         size, lo = np.cumsum([40 + len(x or b"") + len(y or b"") for x, y in zip(shared, short)]), 0
@@ -346,8 +349,10 @@ def _joined(own: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
         left_over.selectExpr("token", "id a", "tag ta", "n", "k", "c", *mine)
         .join(left_over.selectExpr("token", "id b", "tag tb", "n m", "k l", "c d", *other), "token")
         .where(F.expr("c < d") & close)
+        .groupBy("a", "ta", "b", "tb", "n", "m")
+        .agg(F.count("*").alias("often"))
+        .where(f"often >= least({MERGED}, ({num} * n + {den - 1}) div {den}, ({num} * m + {den - 1}) div {den})")
         .select("a", "ta", "b", "tb")
-        .distinct()
     )
     more = confirmed(rest)
     ids = part_of.select(F.col("id"), F.col("component").alias("c"))

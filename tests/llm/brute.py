@@ -128,3 +128,33 @@ def covered(item: str | None, text: str | None) -> tuple[int, int]:
 
 def contaminated(items: list[str | None], text: str | None) -> bool:
     return any(n and c >= n / 2 for n, c in (covered(x, text) for x in items))
+
+
+def shards(rows: list[tuple], count: int, dims: int) -> dict:
+    """The shard of each (id, size, crc, *dimensions): a node is cut where the middle of a row passes its share."""
+    ranks = []
+    for d in range(dims):
+        values = {r[3 + d] for r in rows}
+        order = {v: k for k, v in enumerate(sorted(v for v in values if isinstance(v, str)))}
+        ranks.append({v: -1.0 if v is None else float(order[v]) if isinstance(v, str) else float(v) for v in values})
+    own = [(r[0], r[1], r[2], *(ranks[d][r[3 + d]] for d in range(dims))) for r in rows]
+    extent = lambda part, d: max(r[3 + d] for r in part) - min(r[3 + d] for r in part)
+    whole = [extent(own, d) or 1.0 for d in range(dims)]
+    out: dict = {}
+
+    def split(part: list[tuple], k: int, first: int) -> None:
+        if not part:
+            return
+        if k == 1:
+            out.update({r[0]: first for r in part})
+            return
+        d = max(range(dims), key=lambda d: (extent(part, d) / whole[d], -d))
+        goal, run, sides = sum(r[1] for r in part) * (k // 2) / k, 0, ([], [])
+        for r in sorted(part, key=lambda r: (r[3 + d], r[2], r[0])):
+            run += r[1]
+            sides[run - r[1] / 2 > goal].append(r)
+        split(sides[0], k // 2, first)
+        split(sides[1], k - k // 2, first + k // 2)
+
+    split(own, count, 0)
+    return out
