@@ -36,7 +36,7 @@ SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Occurrences that the merge of short lists asks for, T - L; for smaller T all of them.
 MERGED = 2
 #: Shingles that a task holds before it sends them.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Bytes of a batch of answers, unless one document has more.
 BATCH_BYTES = 16 << 20
 _BASE = 0xE7037ED1A0B428DB
