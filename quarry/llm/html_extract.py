@@ -70,10 +70,10 @@ class Page:
             nonlocal links, quiet
             if any(t not in INLINE for t, _ in stack[k:]):
                 flush()
-            gone = Counter(t for t, _ in stack[k:])
-            links -= gone["a"]
-            quiet -= gone["noscript"]
-            opened.subtract(gone)
+            for t, _ in stack[k:]:
+                opened[t] -= 1
+                links -= t == "a"
+                quiet -= t == "noscript"
             del stack[k:]
 
         def enter(tag: str, node: int) -> None:
