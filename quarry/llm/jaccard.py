@@ -6,12 +6,14 @@ at least T - L = 2 times in the shorter ones (lists are in one order for all doc
 both). The short lists are merged with their counts, by sorting in Spark in place of a heap, as no document's lists lie
 in one task; partners that occur often enough are probed by binary search for all other shingles.
 
-1. Each task hashes its documents' shingle sets, links documents with equal sets at once and sends the
-   sets of the others, dealt by hash.
-2. Each partition holds whole inverted lists. It answers, for every document, which of its shingles another
-   document has too and the length of those lists. Lists of one document answer nothing.
-3. Each document that shares fewer than T shingles is done. The others (about a tenth) keep their shared
-   shingles and the shortest lists' shingles to be merged.
+1. A first pass counts the shingles that many documents have. Those that hold more than a quarter of a partition's
+   share of all shingles, at most 4 x partitions of them, are broadcast with their counts.
+2. Each task hashes its documents' shingle sets, links documents with equal sets at once and sends the
+   sets of the others, dealt by hash. What is broadcast is answered on the spot: no task gets such a list.
+3. Each partition holds whole inverted lists of the other shingles. It answers, for every document, which of its
+   shingles another document has too and the length of those lists; lists of one document answer nothing. Each
+   document that shares fewer than T shingles is done. The others (about a tenth) keep their shared shingles and
+   the shortest lists' shingles to be merged.
 4. Each short list links its documents to the one with most shared shingles: linear in the list, however long.
    The pairs are confirmed on the whole sets, and connected components formed.
 5. Of all other documents those are merged that are still in different components and have enough shared shingles
@@ -40,6 +42,8 @@ HELD = 1_000_000
 #: Bytes of a batch of answers, unless one document has more.
 BATCH_BYTES = 16 << 20
 _BASE = 0xE7037ED1A0B428DB
+#: A shingle's list is dealt to no partition if it is longer than 1 / COMMON of a partition's share of all shingles.
+COMMON = 4
 _SENT = "kind int, part int, ids binary, tags binary, counts binary, hashes binary, lengths binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 #: Parities of a document's shared shingles by the last byte of the hash, as four numbers.
@@ -86,8 +90,62 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
     return h[new], np.bincount(doc[new], minlength=len(counts))
 
 
-def _send(width: int, parts: int):
+def _tally(width: int, parts: int):
+    """(token, c): the task's shingles that may be common, with their sets; without a token the sum of all."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        h, counts = (np.concatenate([x[k] for x in held]) for k in range(2))
+        tags = tx.mix(tx.sums_by(tx.mix(h), counts) + counts.astype(tx.U))
+        own = np.zeros(len(counts), bool)
+        own[np.unique(tags, return_index=True)[1]] = True
+        h = np.sort(h[np.repeat(own, counts)])
+        if not len(h):
+            return
+        at, many = _runs(h)
+        often = (many > 1) & (many * (2 * COMMON * parts) >= len(h))
+        token, c = h[at[often]].view(np.int64), many[often].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *token.tolist()], pa.int64()), pa.array([len(h), *c.tolist()], pa.int64())], ["token", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, data, bounds in tx.blocks(batches):
+            held.append(shingle_sets(data, bounds, width))
+            n += len(held[-1][0]) + len(bounds)
+            if n >= HELD:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def common_shingles(own: DataFrame, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sets): the shingles that hold at least 1 / (COMMON * parts) of all, rising; at most COMMON * parts.
+
+    A task names a shingle if two of the sets that it holds have it and it is half as common there. So a list that is
+    not named is at most 1.5 times as long as that share, or has one set of each HELD shingles.
+    """
+    sums = cut(own.mapInArrow(_tally(width, parts), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    total = sums.where("token is null").agg(F.sum("c")).first()[0] or 0
+    rows = sums.where("token is not null").where(F.col("c") >= -(-total // (COMMON * parts))).collect()
+    h = np.array([r["token"] for r in rows], np.int64).view(tx.U)
+    order = np.argsort(h)
+    return h[order], np.array([r["c"] for r in rows], np.int64)[order]
+
+
+def _answers(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, h: np.ndarray, length: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows that tell a document's partition which shingles it shares, and the order of their lists."""
+    for part, (d, hs, n) in tx.dealt(_part(ids, parts)[doc], [doc, h, length]):
+        o = np.argsort(d, kind="stable")
+        at, c = _runs(d[o])
+        who = d[o][at]
+        yield _row(_ANSWERS, part, ids[who], tags[who], c.astype(np.int32), hs[o], n[o])
+
+
+def _send(width: int, parts: int, shared):
     def flush(held: list) -> Iterator[pa.RecordBatch]:
+        common, sets = shared.value
         ids, h, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
         tags = tx.mix(tx.sums_by(tx.mix(h), counts) + counts.astype(tx.U)).view(np.int64)
         other = tx.sums_by(tx.mix(h ^ tx.U(_BASE)), counts)
@@ -104,6 +162,11 @@ def _send(width: int, parts: int):
         doc = np.repeat(np.arange(len(ids)), counts)
         mine = own[doc]
         h, doc = h[mine], doc[mine]
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            known = common[at] == h
+            yield from _answers(ids, tags, doc[known], h[known], _order(sets[at[known]]), parts)
+            h, doc = h[~known], doc[~known]
         for part, (hs, d) in tx.dealt((tx.mix(h) % tx.U(parts)).astype(np.int32), [h, doc]):
             at, many = _runs(d)
             yield _row(_SETS, part, ids[d[at]], tags[d[at]], many.astype(np.int32), hs)
@@ -140,8 +203,8 @@ def _lists(parts: int):
         held: dict[int, list] = {}
         for batch in batches:
             for x in _cells(batch):
-                if x["kind"] == _META:
-                    yield _row(_META, x["part"], *(tx.of(x[c], np.uint8) for c in _NAMES[2:6]))
+                if x["kind"] != _SETS:
+                    yield _row(x["kind"], x["part"], *(tx.of(x[c], np.uint8) for c in _NAMES[2:]))
                 else:
                     held.setdefault(x["part"], []).append((tx.of(x["ids"], np.int64), tx.of(x["tags"], np.int64), tx.of(x["counts"], np.int32), tx.of(x["hashes"], tx.U)))
         while held:
@@ -155,11 +218,7 @@ def _lists(parts: int):
             length = np.repeat(many, many)
             shared = length > 1
             h, doc, length = h[shared], doc[shared], _order(length[shared])
-            for part, (d, hs, n) in tx.dealt(_part(ids, parts)[doc], [doc, h, length]):
-                o = np.argsort(d, kind="stable")
-                at, c = _runs(d[o])
-                who = d[o][at]
-                yield _row(_ANSWERS, part, ids[who], tags[who], c.astype(np.int32), hs[o], n[o])
+            yield from _answers(ids, tags, doc, h, length, parts)
 
     return run
 
@@ -302,7 +361,8 @@ def _joined(own: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """(id, n, component) for (id, text); rows with one id are one node."""
     num, den = Fraction(similarity).limit_denominator(10**6).as_integer_ratio()
     parts = partitions(own.sparkSession)
-    sent = own.mapInArrow(_send(shingle, parts), _SENT).repartitionById(parts, F.col("part"))
+    shared = own.sparkSession.sparkContext.broadcast(common_shingles(own, shingle, parts))
+    sent = own.mapInArrow(_send(shingle, parts, shared), _SENT).repartitionById(parts, F.col("part"))
     told = sent.mapInArrow(_lists(parts), _SENT).repartitionById(parts, F.col("part"))
     all_docs = cut(told.mapInArrow(_sift(num, den), "id long, tag long, n long, lead long, shared binary, short binary, bits binary"))
     sets = all_docs.where("shared is not null").select("id", "tag", "n", "shared")

@@ -10,7 +10,7 @@ import pytest
 from quarry.llm.chat import format_chat, turn_calls
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.html_extract import extract_main_text, main_texts
-from quarry.llm.jaccard import ngram_jaccard_join
+from quarry.llm.jaccard import COMMON, common_shingles, ngram_jaccard_join
 from quarry.llm.quality_model import quality
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.shard import kd_shards
@@ -152,6 +152,15 @@ def test_decontamination_is_that_of_brute_force(spark):
     assert sorted(((r.doc_id, r.item_id, r.n_item_words, r.n_covered) for r in got), key=key) == sorted(want, key=key)
 
 
+def with_partitions(spark, parts: str, function, table) -> list:
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        return function(table).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_join_with_one_shingle_in_every_third_document(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
@@ -165,7 +174,13 @@ def test_join_with_one_shingle_in_every_third_document(spark):
     want = brute.components(docs)
     for parts in ("8", "3"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+        table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        got = {r.doc_id: r.component_id for r in ngram_jaccard_join(table).collect()}
         assert got == want
+        # the lists that no task gets: few, each as long as a part of a task's share at least
+        hashes, sets = common_shingles(table.selectExpr("doc_id id", "text"), 5, 100)
+        assert 0 < len(hashes) <= 100 * COMMON and (hashes[1:] > hashes[:-1]).all() and 100 <= sets.max() <= sum(common in text for _, text in docs)
+        many = {r.doc_id: r.component_id for r in with_partitions(spark, "100", ngram_jaccard_join, table)}
+        assert many == want
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert 20 < len(set(want.values())) < 280
