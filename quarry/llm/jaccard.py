@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 MERGED = 2
 #: Shingles that a task holds before it sends them.
 HELD = 1_000_000
+#: Places that a task holds while it looks for common shingles.
+TALLIED = 500_000
 #: Bytes of a batch of answers, unless one document has more.
 BATCH_BYTES = 16 << 20
 _BASE = 0xE7037ED1A0B428DB
@@ -68,8 +70,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], np.diff(at)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): the distinct shingles of each text, rising within a text."""
+def _places(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts): the shingle at each place of each text."""
     a, b, counts = tx.words(data, bounds)
     w = tx.word_hashes(data, a, b, lower=True)
     at, _ = tx.windows(counts, width)
@@ -83,15 +85,21 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
             has = counts[short] > j
             value[has] += w[head[short[has]] + j] * tx.U(pow(_BASE, j + 1, 2**64))
         h, doc = np.concatenate((h, tx.mix(value + counts[short].astype(tx.U)))), np.concatenate((doc, short))
+    return h, doc
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the distinct shingles of each text, rising within a text."""
+    h, doc = _places(data, bounds, width)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.bincount(doc[new], minlength=len(counts))
+    return h[new], np.bincount(doc[new], minlength=len(bounds) - 1)
 
 
 def _tally(width: int, parts: int):
-    """(token, c): the task's shingles that may be common, with their sets; without a token the sum of all."""
+    """(token, c): the task's shingles that may be common, with their places; without a token the sum of all."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         h, counts = (np.concatenate([x[k] for x in held]) for k in range(2))
@@ -109,9 +117,10 @@ def _tally(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for _, data, bounds in tx.blocks(batches):
-            held.append(shingle_sets(data, bounds, width))
-            n += len(held[-1][0]) + len(bounds)
-            if n >= HELD:
+            h, doc = _places(data, bounds, width)
+            held.append((h[np.argsort(doc, kind="stable")], np.bincount(doc, minlength=len(bounds) - 1)))
+            n += len(h) + len(bounds)
+            if n >= TALLIED:
                 yield from flush(held)
                 held, n = [], 0
         if held:
@@ -121,10 +130,12 @@ def _tally(width: int, parts: int):
 
 
 def common_shingles(own: DataFrame, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sets): the shingles that hold at least 1 / (COMMON * parts) of all, rising; at most COMMON * parts.
+    """(hashes, places): the shingles at 1 / (COMMON * parts) of all places or more, rising; at most COMMON * parts.
 
-    A task names a shingle if two of the sets that it holds have it and it is half as common there. So a list that is
-    not named is at most 1.5 times as long as that share, or has one set of each HELD shingles.
+    Places are those of unlike texts of a task, so they are no fewer than the sets with the shingle. A task names a
+    shingle that it holds twice and that is half as common there. So a list that is not named is at most 1.5 times as
+    long as that share, or has one set of each TALLIED places. One text that repeats a shingle may make it common, too:
+    it then counts as shared, which changes no result, as pairs are confirmed on the whole sets.
     """
     sums = cut(own.mapInArrow(_tally(width, parts), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")))
     total = sums.where("token is null").agg(F.sum("c")).first()[0] or 0
@@ -145,7 +156,7 @@ def _answers(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, h: np.ndarray,
 
 def _send(width: int, parts: int, shared):
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        common, sets = shared.value
+        common, often = shared.value
         ids, h, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
         tags = tx.mix(tx.sums_by(tx.mix(h), counts) + counts.astype(tx.U)).view(np.int64)
         other = tx.sums_by(tx.mix(h ^ tx.U(_BASE)), counts)
@@ -165,7 +176,7 @@ def _send(width: int, parts: int, shared):
         if len(common):
             at = np.minimum(np.searchsorted(common, h), len(common) - 1)
             known = common[at] == h
-            yield from _answers(ids, tags, doc[known], h[known], _order(sets[at[known]]), parts)
+            yield from _answers(ids, tags, doc[known], h[known], _order(often[at[known]]), parts)
             h, doc = h[~known], doc[~known]
         for part, (hs, d) in tx.dealt((tx.mix(h) % tx.U(parts)).astype(np.int32), [h, doc]):
             at, many = _runs(d)

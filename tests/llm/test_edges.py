@@ -178,8 +178,8 @@ def test_join_with_one_shingle_in_every_third_document(spark):
         got = {r.doc_id: r.component_id for r in ngram_jaccard_join(table).collect()}
         assert got == want
         # the lists that no task gets: few, each as long as a part of a task's share at least
-        hashes, sets = common_shingles(table.selectExpr("doc_id id", "text"), 5, 100)
-        assert 0 < len(hashes) <= 100 * COMMON and (hashes[1:] > hashes[:-1]).all() and 100 <= sets.max() <= sum(common in text for _, text in docs)
+        hashes, places = common_shingles(table.selectExpr("doc_id id", "text"), 5, 100)
+        assert 0 < len(hashes) <= 100 * COMMON and (hashes[1:] > hashes[:-1]).all() and 100 <= places.max() <= sum(common in text for _, text in docs)
         many = {r.doc_id: r.component_id for r in with_partitions(spark, "100", ngram_jaccard_join, table)}
         assert many == want
     spark.conf.set("spark.sql.shuffle.partitions", "8")
