@@ -40,7 +40,7 @@ def _csv(sql: str, head: str | None = None, field: str = ",", compression: str |
 
 def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat(doc_id, ',', {_QUOTED.format('text')}, ',', lang)").alias("value"))
-    found = select(spark, put_text(d, "doc_id"), "SELECT d._1 AS id, d._2 AS text, d._3 AS lang FROM S3Object d", Input("CSV")).frame()
+    found = select(spark, put_text(d, "doc_id", parts=True), "SELECT d._1 AS id, d._2 AS text, d._3 AS lang FROM S3Object d", Input("CSV")).frame()
     return found.select("id", F.md5("text").alias("hash"), "lang")
 
 

@@ -19,13 +19,17 @@ def folder(spark: SparkSession) -> str:
     return f"{at}/object-{uuid.uuid4().hex}"
 
 
-def put_text(lines: DataFrame, order: str, head: str | None = None, compression: str = "none", end: str = "\n") -> str:
-    """Writes (value) in the order of a column of `lines` as one object, a first line before it if any; its path."""
+def put_text(lines: DataFrame, order: str, head: str | None = None, compression: str = "none", end: str = "\n", parts: bool = False) -> str:
+    """Writes (value) in the order of a column of `lines` as one object, a first line before it if any; its path.
+
+    With parts it is as many files as the sort has partitions, in the order of their names, each with whole values.
+    """
     spark = lines.sparkSession
     own = lines.select(F.lit(1).alias("k"), F.col(order).alias("o"), "value")
     if head is not None:
         first = spark.range(1).select(F.lit(0).alias("k"), F.lit(None).cast(own.schema["o"].dataType).alias("o"), F.lit(head).alias("value"))
         own = first.union(own)
     at = folder(spark)
-    own.repartition(1).sortWithinPartitions("k", "o").select("value").write.option("compression", compression).option("lineSep", end).text(at)
+    own = own.orderBy("k", "o") if parts else own.repartition(1).sortWithinPartitions("k", "o")
+    own.select("value").write.option("compression", compression).option("lineSep", end).text(at)
     return at

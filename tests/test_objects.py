@@ -8,8 +8,9 @@ import pytest
 from quarry.operators.listing import UnorderedPager, listing_page, page, pair_listing
 from quarry.operators.versions import chain, expired_markers, heat, noncurrent_expired
 from quarry.select import Input, select, select_frame
-from quarry.sources.csv_rows import CsvFormat, records
+from quarry.sources.csv_rows import CsvFormat, read_csv, records
 from quarry.sources.json_rows import elements
+from quarry.sources.scratch import put_text
 from quarry.streaming.events import frames
 
 
@@ -49,6 +50,50 @@ def test_open_quotes_are_read_by_one_task(spark, tmp_path):
         assert [r.value for r in select(spark, str(p), "SELECT * FROM S3Object", Input("CSV")).csv().collect()] == want
 
 
+@pytest.fixture
+def small_splits(spark):
+    own = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("tail", ["", '9,"left open\n', '9,"left open'])
+def test_open_quotes_are_read_by_many_tasks(spark, tmp_path, small_splits, tail):
+    body = "".join(f'{k},"é ""{k}"",\n' + "two, lines\n\n#" * (k % 7) + ("x\n" * 800 if k == 20 else "") + f'",q"r\r\n#no, "record\n"{k}"t,\n\n' for k in range(60)) + tail
+    p = tmp_path / "a.csv"
+    p.write_text(body, newline="")
+    for f in (CsvFormat(comments="#"), CsvFormat(comments="#", header="USE")):
+        want = list(records(body.encode(), f))
+        rows, head = read_csv(spark, str(p), f)
+        assert rows.rdd.getNumPartitions() > 8
+        assert sorted((r.record_start, r.cells) for r in rows.collect()) == want[f.header == "USE" :]
+        assert head == (want[0][1] if f.header == "USE" else None)
+    found = select(spark, str(p), "SELECT _1 AS k FROM S3Object LIMIT 3", Input("CSV")).frame()
+    assert [r.k for r in found.collect()] == [c[0] for _, c in records(body.encode(), CsvFormat())][:3]
+
+
+def test_open_quotes_have_bounds(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    for n, fits in ((400_000, True), (600_000, False), (2_000_000, False)):
+        p.write_text('1,"' + "a\n" * n + '"\n2,b\n')
+        if fits:
+            assert sorted((r.cells[0], len(r.cells[1])) for r in read_csv(spark, str(p), CsvFormat())[0].collect()) == [("1", 2 * n), ("2", 1)]
+        else:
+            with pytest.raises(Exception, match="too large"):
+                read_csv(spark, str(p), CsvFormat())[0].collect()
+
+
+def test_objects_in_parts(spark, small_splits):
+    lines = spark.range(500).selectExpr("999 - id as o", "concat(999 - id, ',\"a\\n', id, '\"') as value")
+    at = put_text(lines, "o", parts=True)
+    assert spark.read.format("binaryFile").load(at).count() > 1
+    rows = read_csv(spark, at, CsvFormat())[0].orderBy("record_start").collect()
+    assert [r.cells for r in rows] == [[str(k), f"a\n{999 - k}"] for k in range(500, 1000)]
+
+
 def test_numbers(spark):
     df = spark.sql("select 2.75D d, cast(2.75 as decimal(4,2)) m, 9000000000000000000L b, 7 i, 54.0D w")
     one = lambda e: select_frame(df, f"SELECT {e} AS x FROM S3Object").csv().first().value
